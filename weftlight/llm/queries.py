@@ -18,7 +18,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.records import token_records
+
+    return token_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
+    "op7_records": op7_records,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+        FROM d JOIN g USING (t)
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
