@@ -36,6 +36,12 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.simhash import near_duplicate_components
+
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlight.llm.exact_dedup import exact_duplicates
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op7_records": op7_records,
+    "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
