@@ -18,6 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlight.llm.packing import pack
 
@@ -50,6 +56,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op7_records": op7_records,
