@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import columns
+from weftlight.llm.common import columns, written
 
 #: Runs that one round merges into one: each round is FAN_BITS binomial exchanges at once.
 FAN_BITS = 3
@@ -46,7 +46,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their id is: `distinct_documents` keeps one of them. Further columns are dropped; an empty table gives no row.
     """
     key = ["text_sha256", "_check", "_bytes"]
-    groups = duplicate_groups(docs, id_col, text_col, keep)
+    # as a table, so that the join deals out both sides anew and can split the rows of a large group of copies
+    groups = written(duplicate_groups(docs, id_col, text_col, keep), "groups")
     rows = columns(docs, id_col, text_col).select(F.col(id_col), *digests(F.col(text_col)))
     return rows.join(groups, key).select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
@@ -58,7 +59,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     d = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    groups = duplicate_groups(d, key, text, keep)
+    groups = written(duplicate_groups(d, key, text, keep), "groups")
     rows = d.select(*digests(F.col(text)), *d.columns)
     same = [rows[c] == groups[c] for c in ("text_sha256", "_check", "_bytes")]
     out = rows.join(groups, [*same, rows[key].eqNullSafe(groups["keep_id"])], "left_semi")
