@@ -54,6 +54,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language": op3_language,
@@ -62,6 +68,7 @@ QUERIES = {
     "op7_records": op7_records,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_top_k": op10_top_k,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
@@ -70,4 +77,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op10_top_k": """
+        WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+             v AS (SELECT vec_id, i, CAST(floor(1024 * x) AS BIGINT) AS x FROM p
+                   WHERE vec_id NOT IN (SELECT vec_id FROM p WHERE x IS NULL OR NOT isfinite(x))),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
 }
