@@ -18,6 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlight.llm.language import identify
 
@@ -62,6 +68,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
