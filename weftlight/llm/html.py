@@ -310,12 +310,12 @@ class _Maker:
             lambda: f'<div{self.attr("footer", "copyright", "legal", "disclaimer", chance=1)}><p>&copy; {text}</p></div>',
         ])()
 
-    def article(self) -> str:
+    def article(self, alone: bool = False) -> str:
         r = self.r
         out = []
         if r.random() < 0.85:
             h = f"<h1 data-m>{self.words(r.randint(3, 12), False)}</h1>"
-            out.append(f"<header data-m>{h}</header>" if r.random() < 0.12 else h)
+            out.append(f"<header data-m>{h}</header>" if not alone and r.random() < 0.12 else h)
         for i in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             kind, n = r.random(), r.choice([r.randint(1, 12), r.randint(10, 60), r.randint(40, 160)])
             text = self.words(n)
@@ -351,12 +351,17 @@ class _Maker:
         elif style < 0.9:
             body = f"<div data-m{self.attr('content', 'main', 'article', 'post-body', 'entry-content', 'story', 'text', chance=0.85)}>{self.article()}</div>"
         else:
-            body = self.article()
+            body = self.article(alone=True)
         for _ in range(r.choice([0, 0, 1, 2])):
             inner = f"{self.boiler() if r.random() < 0.4 else ''}{body}{self.boiler() if r.random() < 0.4 else ''}"
             body = f"<{(t := r.choice(['div', 'div', 'section', 'main']))} data-m{self.attr('wrapper', 'container', 'page', 'content', 'layout', chance=0.7)}>{inner}</{t}>"
         before = "".join(self.boiler() for _ in range(r.randint(0, 4)))
+        if r.random() < 0.4:
+            inner = r.choice(["<h1>{}</h1>", "<p>{}</p>", "<h2>{}</h2>", "{}", "<div>{}</div>", "<h1>{}</h1><p>x y z</p>"]).format(self.words(r.randint(1, 6), False))
+            before = f"<header{self.attr('header', 'top', 'site', chance=0.3)}>{inner}{self.listing(3) if r.random() < 0.3 else ''}</header>" + before
         after = "".join(self.boiler() for _ in range(r.randint(0, 4)))
+        if r.random() < 0.3:
+            after += f"<footer>&copy; {self.words(r.randint(1, 12))}</footer>"
         return f"<html><head><title>x</title></head><body>{before}{body}{after}</body></html>"
 
 
