@@ -124,13 +124,24 @@ def shuffled_records(uris: list[str], seed: int) -> Iterator[tuple[int | None, n
 
 
 class WordIds:
-    """Whole texts to the library's ids for word_bpe_49k; chunks are encoded once while they are in the cache."""
+    """Whole texts to the library's ids for word_bpe_49k.
+
+    The library's model sees each pre-token once while it is in a cache; chunks that differ in case or punctuation share
+    their pre-tokens.
+    """
 
     def __init__(self, path: str):
-        self.path, self.lib, self.cut = path, library(path), WordPretokens(path)
-        self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.path, self.cut, lib = path, WordPretokens(path), library(path)
+        self.width = 2 if lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.chunks = Cache(lambda c: np.array(self.lib.encode(c, add_special_tokens=False).ids, self.kind).tobytes())
+        tokenize, pack, letter = lib.model.tokenize, struct.pack, "H" if self.width == 2 else "I"
+
+        def word(w: str) -> bytes:
+            ids = [t.id for t in tokenize(w)]
+            return pack(f"<{len(ids)}{letter}", *ids)
+
+        self.words = Cache(word)
+        self.chunks = Cache(lambda c: b"".join([self.words[w] for w in self.cut.pretokens(c)]))
 
     def encode(self, text: str) -> bytes:
         out = []
