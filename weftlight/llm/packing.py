@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 
 import numpy as np
@@ -12,22 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlight.llm.common import blocks, columns, texts_of, written
-from weftlight.llm.pretokens import BytePretokens, Cache, library, segments
+from weftlight.llm.pretokens import BytePretokens, Cache, byte_level, library, segments
 
 #: Pieces that one local task packs at about, the least number of such tasks, and how many nodes a node of the tree merges.
 PIECES_PER_TASK, LEAST_TASKS, FAN_IN = 200_000, 16, 8
 
 
 class ByteIds:
-    """Whole texts to little-endian 32-bit ids, as the library gives them; chunks are encoded once while they are in the cache."""
+    """Whole texts to little-endian 32-bit ids: the library's model sees each pre-token once while it is in a cache."""
 
     def __init__(self, path: str):
-        self.path, self.cut, self.lib = path, BytePretokens(path), library(path)
-        self.plain = Cache(self._bytes)
-        self.spaced = Cache(lambda key: self._bytes(key if key[0] == "\n" else " " + key))
+        self.path, self.cut = path, BytePretokens(path)
+        tokenize, pack = library(path).model.tokenize, struct.pack
 
-    def _bytes(self, chunk: str) -> bytes:
-        return np.array(self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        def word(w: str) -> bytes:
+            ids = [t.id for t in tokenize(byte_level(w))]
+            return pack(f"<{len(ids)}I", *ids)
+
+        words, pretokens = Cache(word), self.cut.pretokens
+
+        def chunk(c: str) -> bytes:
+            found = pretokens(c)
+            return word(c) if len(found) == 1 else b"".join([words[w] for w in found])
+
+        self.plain = Cache(chunk)
+        self.spaced = Cache(lambda key: chunk(key if key[0] == "\n" else " " + key))
 
     def encode(self, text: str) -> bytes:
         out = []
