@@ -42,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.mixing import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlight.llm.records import token_records
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_context_mixing": op6_context_mixing,
     "op7_records": op7_records,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
