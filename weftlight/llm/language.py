@@ -34,16 +34,37 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word's features: bias, form, affixes of one to three letters, n-grams of one to three, shape."""
-    w = word.lower()[:40]
-    marked = f"^{w}$"
-    names = ["bias", "w=" + w, "shape=" + ("A" if word.isupper() else "a" if word.islower() else "Aa")]
+def _hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    h = np.full(len(parts[0]), salt * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for p in parts:
+        h = (h ^ p) * np.uint32(2654435761)
+        h ^= h >> np.uint32(15)
+    return h & np.uint32(BUCKETS - 1)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every feature: bias, form, shape, affixes and n-grams of one to three characters, ends marked."""
+    n = len(words)
+    low = [w.lower()[:40] for w in words]
+    code = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, low), np.int64, n)
+    end = np.cumsum(size + 2)
+    start = end - size - 2
+    owner = np.repeat(np.arange(n), size + 2)
+    left = end[owner] - np.arange(len(code))  # characters from here to the closing mark, it included
+    every = np.arange(n)
+    shape = np.array([2 if w.isupper() else 1 if w.islower() else 0 for w in words], np.uint32)
+    form = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in low], np.uint32)
+    words_of, buckets = [every, every, every], [np.zeros(n, np.uint32), _hashed([shape], 1), _hashed([form], 2)]
     for k in (1, 2, 3):
-        names.append(f"p{k}=" + w[:k])
-        names.append(f"s{k}=" + w[-k:])
-        names += {f"g{k}=" + marked[i : i + k] for i in range(len(marked) - k + 1)}
-    return [zlib.crc32(n.encode()) % BUCKETS for n in dict.fromkeys(names)]
+        at = np.flatnonzero(left >= k)
+        words_of.append(owner[at])
+        buckets.append(_hashed([code[at + j] for j in range(k)], 10 + k))
+        long = np.flatnonzero(size >= k)
+        for kind, first in ((20, start[long] + 1), (30, end[long] - 1 - k)):
+            words_of.append(long)
+            buckets.append(_hashed([code[first + j] for j in range(k)], kind + k))
+    return np.concatenate(words_of), np.concatenate(buckets).astype(np.int64)
 
 
 @dataclass
@@ -52,9 +73,13 @@ class Crf:
     weights: np.ndarray  # BUCKETS x L
     transitions: np.ndarray  # L x L
 
-    def emission(self, word: str) -> np.ndarray:
-        f = word_features(word)
-        return self.weights[f].sum(axis=0) / np.sqrt(len(f))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32)
+        owner, bucket = word_features(words)
+        n = len(words)
+        scale = 1 / np.sqrt(np.bincount(owner, minlength=n))
+        return np.stack([np.bincount(owner, self.weights[bucket, j], n) * scale for j in range(len(self.languages))], axis=1).astype(np.float32)
 
 
 def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, width: int = 2048, messages: bool = False):
@@ -139,11 +164,10 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5,
         w = tokens(text)
         if w:
             chains.append((languages.index(lang), w))
-    known: dict[str, np.ndarray] = {}
-    for _, ws in chains:
-        for w in ws:
-            if w not in known:
-                known[w] = np.array(word_features(w), np.int64)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in chains for w in ws))}
+    owner, bucket = word_features(list(vocabulary)) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(owner, kind="stable")
+    bucket, ends = bucket[order], np.cumsum(np.bincount(owner, minlength=len(vocabulary)))
     weights, trans = np.zeros((BUCKETS, k)), np.zeros((k, k))
     gw, gt = np.full((BUCKETS, k), 1e-3), np.full((k, k), 1e-3)
     for _ in range(epochs):
@@ -155,11 +179,12 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5,
             first = np.zeros(len(ws), bool)
             at = np.cumsum([0, *[len(c) for _, c in batch]])[:-1]
             first[at[::2]] = True  # every second text goes on where another ends
-            feats = [known[w] for w in ws]
-            size = np.array([len(f) for f in feats])
-            flat, scale = np.concatenate(feats), np.repeat(1 / np.sqrt(size), size)
-            ends = np.concatenate(([0], np.cumsum(size)[:-1]))
-            scores = np.add.reduceat(weights[flat] * scale[:, None], ends, axis=0)
+            ids = np.array([vocabulary[w] for w in ws])
+            size = np.diff(ends, prepend=0)[ids]
+            begin = np.cumsum(size) - size
+            flat = bucket[np.repeat(ends[ids] - size - begin, size) + np.arange(size.sum())]
+            scale = np.repeat(1 / np.sqrt(size), size)
+            scores = np.add.reduceat(weights[flat] * scale[:, None], begin, axis=0)
             p, ahead, behind = forward_backward(scores, first, trans, messages=True)
             err = -p
             err[np.arange(len(y)), y] += 1
@@ -188,7 +213,7 @@ def training_texts(docs: DataFrame, per_language: int = TEXTS, id_col: str = "do
     from pyspark.sql import Window
 
     rows = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("string")).alias("h"))
-    light = rows.select("lang", "h", (F.length("text") > TEXT_CHARS).alias("long"), F.pmod("h", F.lit(256)).alias("s"))
+    light = rows.select("lang", "h", (F.length("text") > TEXT_CHARS).alias("long"), F.pmod("h", F.lit(16)).alias("s"))
     ranked = light.withColumn("r", F.row_number().over(Window.partitionBy("lang", "s").orderBy("long", "h"))).filter(F.col("r") <= per_language)
     top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).filter(F.col("r") <= per_language)
     chosen = docs.sparkSession.createDataFrame(top.select("lang", "h").distinct().collect(), "lang string, h long")
@@ -213,11 +238,11 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = shared.value
         k = len(m.languages)
-        rows: list[np.ndarray] = []
+        met: list[str] = []
 
         def number(word):
-            rows.append(np.append(m.emission(word), len(word)))
-            return len(rows) - 1
+            met.append(word)
+            return len(met) - 1
 
         cache = Cache(number)
         table = np.empty((0, k + 1), np.float32)
@@ -225,8 +250,9 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             texts = [tokens(t) for t in texts_of(b, f"_{at}")]
             sizes = np.array([len(t) for t in texts], np.int64)
             got = np.concatenate([np.fromiter(map(cache.__getitem__, t), np.int64, len(t)) for t in texts]) if len(texts) else np.empty(0, np.int64)
-            if rows:
-                table = np.concatenate([table, np.array(rows, np.float32)[len(table) :]]) if len(rows) > len(table) else table
+            new = met[len(table) :]
+            if new:
+                table = np.concatenate([table, np.concatenate([m.emissions(new), np.array([[len(w)] for w in new], np.float32)], axis=1)])
             pred, score, spanned = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             full = np.flatnonzero(sizes)
             if len(full):
@@ -252,8 +278,8 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             if spans:
                 out.append(pa.array(spanned, pa.list_(pa.struct([("word", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*names, "lang_pred", "score", *(["switches"] if spans else [])])
-            if len(rows) > 1_000_000:  # emissions are kept for a bounded number of words
-                rows.clear()
+            if len(met) > 1_000_000:  # emissions are kept for a bounded number of words
+                met.clear()
                 cache = Cache(number)
                 table = table[:0]
 
