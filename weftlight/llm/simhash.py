@@ -175,3 +175,111 @@ def near_duplicate_components(docs: DataFrame, size: int = 4, radius: int = 4, s
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates by shingle similarity: fingerprints only propose, whole texts decide --------------------------------
+
+
+#: Linked pairs of a bucket with at most so many members are all proposed; in fuller ones each member has so many nearest.
+SMALL_BUCKET, NEAREST = 32, 3
+
+
+def _proposed(rows: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs (2, n) to verify in one bucket: all linked ones if it is small, else each member's nearest before it and its first."""
+    m, out = len(rows), []
+    for a in range(0, m, 256):
+        far = np.bitwise_count(rows[a : a + 256, None] ^ rows[None, : a + 256]).astype(np.int16)
+        i, j = np.indices(far.shape)
+        far[(j >= i + a) | (far > radius)] = 999
+        if m <= SMALL_BUCKET:
+            i, j = np.nonzero(far < 999)
+        else:
+            near = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
+            j = np.concatenate([near, (far < 999).argmax(axis=1)[:, None]], axis=1)
+            i = np.repeat(np.arange(len(far)), j.shape[1])
+            j = j.ravel()
+            ok = far[i, j] < 999
+            i, j = i[ok], j[ok]
+        out.append(np.stack([rows[j], rows[i + a]]))
+    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.uint64)
+
+
+def proposals(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints within the radius that are worth verifying; every linked one has some partner.
+
+    Like links(), but a small bucket gives all its linked pairs, so that losing one to verification loses no other.
+    """
+    masks = covering_masks(radius)
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k")).select("fp", F.xxhash64("t", "k").alias("k"))
+    counted = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
+    two = counted.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    lists = keyed.join(counted.filter((F.col("n") > 2) & (F.col("n") <= bucket)).select("k"), "k").groupBy("k").agg(F.collect_list("fp").alias("m")).select("m")
+
+    def run(batches):
+        for b in batches:
+            out = [_proposed(np.unique(np.array(m, np.int64)).view(np.uint64), radius) for m in b.column("m").to_pylist()]
+            if out:
+                e = np.unique(np.concatenate(out, axis=1), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+
+    out = two.unionByName(lists.mapInArrow(run, "a long, b long"))
+    crowded = counted.filter(F.col("n") > bucket).select("k")
+    if not crowded.isEmpty():
+        out = out.unionByName(neighbour_links(written(keyed.join(crowded, "k").select("fp").distinct(), "crowded"), radius - radius % 2))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_set(text: str, size: int) -> set[bytes]:
+    w = words(text)
+    return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} or ({b" ".join(w)} if w else set())
+
+
+def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts' shingle sets have a Jaccard similarity of at least `least`."""
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks([batch], 4 << 20):
+                last, keep = (None, set()), []
+                for x, y in zip(texts_of(b, "ta"), texts_of(b, "tb"), strict=True):
+                    if last[0] != x:
+                        last = (x, shingle_set(x, size))
+                    s, t = last[1], shingle_set(y, size)
+                    both = len(s & t)
+                    keep.append(both >= least * (len(s) + len(t) - both) if s or t else True)
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    one = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, print_size: int = 2, seeds: tuple[int, ...] = (42, 7, 11)) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each group linked by similar texts the smallest id stays.
+
+    Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more.
+    Covering LSH over SimHash fingerprints proposes pairs within `radius` bits in the fingerprint of any seed (of shingles
+    of print_size words, which small edits move less), whole texts decide, and groups are the components of the pairs that
+    pass. So no text goes that has no similar one; pairs further apart than the radius under every seed are not met
+    (README has the measured recall). Buckets too full to compare propose pairs within the even part of the radius.
+    Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows with a null id always stay.
+    """
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    d = flat.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    found = None
+    for seed in seeds:
+        prints = written(fingerprints(d, print_size, seed, "id", "text"), "fingerprints")
+        heads = written(prints.groupBy("fp").agg(F.min("id").alias("head")), "nodes")
+        same = prints.join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+        pairs = proposals(heads.select("fp"), radius)
+        near = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        part = written(same.unionByName(near), "pairs")
+        found = part if found is None else found.unionByName(part)
+    # texts are fetched only for pairs that were proposed
+    edges = similar(found.distinct(), d, size, least)
+    named = written(components(edges), "groups")
+    drop = named.join(named.groupBy("root").agg(F.min("node").alias("stays")), "root").filter("node <> stays").select(F.col("node").alias(key))
+    return flat.join(drop, key, "left_anti").toDF(*names) if not drop.isEmpty() else docs
