@@ -1,11 +1,7 @@
 """Registered queries of the evidence operators, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from weftlight.plans import retrieval_queries  # noqa: F401
+from weftlight.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_rank_fusion"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
