@@ -7,6 +7,7 @@ line ends by str.split and only chunks that were not met before are looked at cl
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import unicodedata
 from collections.abc import Callable
@@ -18,7 +19,7 @@ BYTE_PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: The word pattern of word_bpe_49k (fixed value, from its file).
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Entries of each of a cache's two generations, and the longest key that is kept.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
 
 
@@ -26,6 +27,7 @@ class Cache(dict):
     """chunk -> value, with two generations: what was not used since the older one filled up is forgotten."""
 
     def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES):
+        gc.set_threshold(200_000, 50, 100)  # strings and bytes make no cycles, but their number sets off collections
         self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
@@ -134,6 +136,9 @@ class BytePretokens:
         return self.pretokens(text), False
 
     def pretokens(self, text: str) -> list[str]:
+        kind = simple(text[1:]) if text[:1] == " " else 0
+        if kind:
+            return [text] if kind == 1 else [text[:-1], text[-1]]
         if is_plain(text):
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.cut(text)]
@@ -154,6 +159,10 @@ class WordPretokens:
 
     def pretokens(self, chunk: str) -> list[str]:
         """The byte-level pre-tokens of a chunk, as characters of the vocabulary."""
+        kind = simple(chunk)
+        if kind and len(chunk) == len(chunk.lower()):  # composed Latin letters: NFC as they are
+            low = byte_level(chunk.lower())
+            return [low] if kind == 1 else [low[:-1], low[-1]]
         if not is_plain(chunk):
             return [s for s, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk))]
         low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
@@ -163,11 +172,27 @@ class WordPretokens:
 
 
 @functools.cache
-def _table() -> list[str]:
+def _table() -> tuple[list[str], dict[int, str]]:
     symbols = byte_symbols()
-    return [symbols[b] for b in range(256)]
+    return [symbols[b] for b in range(256)], {c: "".join(symbols[b] for b in chr(c).encode("utf-8")) for c in range(0x250)}
 
 
 def byte_level(text: str) -> str:
-    table = _table()
+    """The bytes of a text as characters of byte-level vocabularies; Latin letters by one translation."""
+    table, latin = _table()
+    if text.isascii() or max(text) < "\u0250":
+        return text.translate(latin)
     return "".join([table[b] for b in text.encode("utf-8")])
+
+
+#: Punctuation that may end an otherwise alphabetic chunk without a closer look.
+_END = frozenset(".,;:!?")
+
+
+def simple(chunk: str) -> int:
+    """1 if the chunk is one run of letters, 2 if it is that and one mark at its end, else 0. Only for plain Latin letters."""
+    if chunk.isalpha():
+        return 1 if chunk.isascii() or max(chunk) < "\u0250" else 0
+    if chunk[-1:] in _END and (head := chunk[:-1]).isalpha():
+        return 2 if head.isascii() or max(head) < "\u0250" else 0
+    return 0
