@@ -19,7 +19,7 @@ def numeric_conflicts(claims: DataFrame, block: list[str], source: str, value: s
     p = a.join(b, block).filter(F.col(f"a_{source}") < F.col(f"b_{source}"))
     gap = F.greatest(F.abs(F.col("a_high") - F.col("b_low")), F.abs(F.col("b_high") - F.col("a_low")))
     size = F.greatest(F.abs("a_high"), F.abs("b_high"), F.abs("a_low"), F.abs("b_low"))
-    return p.withColumn("gap", gap).filter(F.col("gap") > tolerance * size).withColumn("severity", F.lit(severity))
+    return p.withColumn("gap", gap).withColumn("relative", gap / size).filter(F.col("gap") > tolerance * size).withColumn("severity", F.lit(severity))
 
 
 def validity_overlaps(spans: DataFrame, key: list[str], ident: str, start: str, end: str) -> DataFrame:

@@ -35,9 +35,9 @@ def _(t):
 
 
 @query("chunk_section_fallback", rf"""WITH {LINES}, s AS (SELECT doc_id, segment, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM lines),
-  c AS (SELECT doc_id, segment, 0 AS at, t AS text FROM s WHERE t <> '' AND greatest(1, floor(length(t) / 4)) <= 512
-        UNION ALL SELECT doc_id, segment, at, substring(t, at + 1, 512) FROM (SELECT *, unnest(range(0, length(t), 512)) AS at FROM s WHERE t <> '' AND greatest(1, floor(length(t) / 4)) > 512))
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, at) - 1 AS INTEGER) AS ordinal, text FROM c WHERE regexp_matches(text, '\S')""")
+  c AS (SELECT doc_id, segment, 0 AS pos, t AS text FROM s WHERE t <> '' AND greatest(1, floor(length(t) / 4)) <= 512
+        UNION ALL SELECT doc_id, segment, pos, substring(t, pos + 1, 512) FROM (SELECT *, unnest(range(0, length(t), 512)) AS pos FROM s WHERE t <> '' AND greatest(1, floor(length(t) / 4)) > 512))
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, pos) - 1 AS INTEGER) AS ordinal, text FROM c WHERE regexp_matches(text, '\S')""")
 def _(t):
     return chunking.sections(chunking.lines(t.documents))
 

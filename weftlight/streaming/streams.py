@@ -38,7 +38,7 @@ def deduplicated(events: DataFrame, ident: list[str], at: str, late: str = "1 ho
 
 def within_last(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Adds recent: events of the key in the last `seconds`, this one included. Batch form of a sliding limit."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w))
 
 
@@ -123,7 +123,7 @@ COOLDOWN = {"timeout": 10, "rate_limited": 30, "server_error": 15, "auth_error":
 def health(events: DataFrame, key: str, at: str, kind: str, ident: str) -> DataFrame:
     """Adds out_until and available: a failure keeps its key out for the kind's cooldown; the latest failure before decides."""
     seconds = F.create_map(*[F.lit(x) for kv in COOLDOWN.items() for x in kv])[F.col(kind)]
-    until = F.when(seconds.isNotNull(), F.timestamp_micros(F.unix_micros(at) + seconds * 1_000_000))
+    until = F.when(seconds.isNotNull(), F.timestamp_micros(F.unix_micros(F.col(at).cast("timestamp")) + seconds * 1_000_000).cast(events.schema[at].dataType))
     w = Window.partitionBy(key).orderBy(at, ident).rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("_u", until).withColumn("out_until", F.max("_u").over(w)).drop("_u")
     return out.withColumn("available", F.col("out_until").isNull() | (F.col(at) >= F.col("out_until")))
