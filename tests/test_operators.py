@@ -140,3 +140,36 @@ def test_notes(spark):
     assert one(spark, files.link_leaf, "d/e.md#f") == "e"
     df = spark.createDataFrame([("a.md", "# H\n")], "path string, content string")
     assert files.parse_notes(df).collect()[0]["title"] == "H"
+
+
+def test_extraction(spark):
+    from weftlight.operators import extraction as E
+
+    name = lambda s: one(spark, E.entity_name, s)
+    assert [name(x) for x in ("Atlas database", "The Acme Corp", "delta sync", "API tool")] == ["Atlas", "Acme", "Delta Sync", "API"]
+    df = spark.createDataFrame([(1, "Atlas depends on Beacon. Core Engine replaces Old Mill.")], "doc_id long, text string")
+    assert {tuple(r)[1:] for r in E.relations(df).collect()} == {("Atlas", "depends_on", "Beacon"), ("Core Engine", "replaces", "Old Mill")}
+    df = spark.createDataFrame([(1, "Revenue was $3.1 billion; revenue: 3100 million; growth of 12%; sales 2021")], "doc_id int, text string")
+    assert {(r["metric"], r["value"], r["unit"], round(r["billions"], 6)) for r in E.metric_values(df, ["doc_id"]).collect()} == {("revenue", 3.1, "B", 3.1), ("revenue", 3100.0, "M", 3.1), ("growth", 12.0, "%", 12.0)}
+    d = spark.createDataFrame([("2024-02-03T04:05:06",), ("2024-02-03",), ("2024-02",), ("2024",), ("no",)], "t string")
+    t, p = E.parsed_date(F.col("t"))
+    assert [r["p"] for r in d.select(t.alias("t"), p.alias("p")).collect()] == ["second", "day", "month", "year", None]
+    lines = spark.createDataFrame([(1, 0, "Title", 20.0), (1, 1, "body", 10.0), (1, 2, "Part", 14.0), (1, 3, "text", 10.0), (1, 4, "more", 10.0), (1, 5, "Next", 19.0), (1, 6, "end", 10.0)], "doc int, at int, text string, size double")
+    got = {r["at"]: (r["level"], r["path"]) for r in E.heading_paths(E.headings(lines, "doc", "size", "at"), "doc", "at", "text").collect()}
+    assert got[0][0] == 1 and got[2][0] == 2 and got[3] == (None, "Title > Part") and got[6] == (None, "Next")
+    table = spark.createDataFrame([([["a", "b"], ["1"]],)], "t array<array<string>>")
+    assert table.select(E.table_text(F.col("t"))).collect()[0][0] == "a | b\n--- | ---\n1 | "
+    assert table.select(E.looks_like_header(F.col("t")[0])).collect()[0][0]
+    texts = spark.createDataFrame([(1, "we like the Core Engine, a lot"), (2, "core only")], "k int, text string")
+    names = spark.createDataFrame([("e1", "Core Engine"), ("e2", "core")], "id string, name string")
+    assert {tuple(r) for r in E.linked_entities(texts, names, "k").collect()} == {(1, "e1"), (1, "e2"), (2, "e2")}
+
+
+def test_control(spark):
+    s = spark.createDataFrame([(5, 3, 0.8, 1.0, 0), (5, 3, 0.8, 1.0, 1), (1, 1, 0.1, 0.1, 0), (2, 1, 0.2, 0.5, 0)], "found int, sources int, top3 double, cov double, con int")
+    got = [r[0] for r in s.select(planning.sufficiency(F.col("found"), F.col("sources"), F.col("top3"), F.col("cov"), F.col("con"))).collect()]
+    assert got == ["strong", "conflicted", "insufficient", "marginal"]
+    o = spark.createDataFrame([("x", 0, []), ("", 1, []), ("x", 1, ["synthesis_degraded_a"]), ("x", 1, ["assessment_fallback"]), ("x", 1, ["other"])], "a string, n int, w array<string>")
+    assert [r[0] for r in o.select(planning.outcome(F.col("a"), F.col("n"), F.col("w"))).collect()] == ["not_found", "no_answer", "answered_degraded", "answered_fallback", "answered"]
+    q = spark.createDataFrame([(1, "Assess the storage layer and explain the failure modes; list every owner")], "k int, text string")
+    assert [r["topic"] for r in planning.topics(q, "k").orderBy("topic_no").collect()] == ["Assess the storage layer", "the failure modes", "list every owner"]

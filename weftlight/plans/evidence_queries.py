@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftlight.functions import text as X
-from weftlight.operators import claims, evaluation, planning
+from weftlight.operators import claims, evaluation, extraction, planning
 from weftlight.plans.registry import query
 from weftlight.plans.retrieval_queries import BM25, lexical_hits
-from weftlight.sources import files
+from weftlight.sources import files, sinks
 
 
 def sql_list(words):
@@ -184,10 +184,47 @@ def _(t):
     return planning.gaps(need_state(t), "item_id")
 
 
-@query("sufficiency_level", f"WITH {NEED}, p AS (SELECT *, least(3, found) + least(3, sources) + CASE WHEN best >= 0.7 THEN 3 WHEN best >= 0.4 THEN 2 WHEN best > 0 THEN 1 ELSE 0 END + CASE WHEN least(1.0, found / 8) >= 0.8 THEN 3 WHEN least(1.0, found / 8) >= 0.5 THEN 2 WHEN found > 0 THEN 1 ELSE 0 END AS points FROM st) SELECT item_id, CASE WHEN points >= 10 THEN 'strong' WHEN points >= 7 THEN 'adequate' WHEN points >= 4 THEN 'partial' ELSE 'insufficient' END AS level FROM p")
+SUFF = f"""{NEED}, t3 AS (SELECT item_id, avg(score) AS top3 FROM lex WHERE rank <= 3 GROUP BY 1), v AS (SELECT st.*, coalesce(top3, 0) / 100 AS top3, least(1.0, found / 8) AS cov FROM st LEFT JOIN t3 USING (item_id)),
+  p AS (SELECT *, CASE WHEN found >= 5 THEN 3 WHEN found >= 2 THEN 2 WHEN found >= 1 THEN 1 ELSE 0 END + CASE WHEN cov >= 1 THEN 3 WHEN cov >= 0.8 THEN 2 WHEN cov > 0 THEN 1 ELSE 0 END + CASE WHEN sources >= 3 THEN 3 WHEN sources >= 2 THEN 2 WHEN sources >= 1 THEN 1 ELSE 0 END + CASE WHEN top3 >= 0.7 THEN 3 WHEN top3 >= 0.5 THEN 2 WHEN top3 > 0 THEN 1 ELSE 0 END AS points FROM v),
+  lv AS (SELECT item_id, CASE WHEN NOT (cov >= 0.3 OR found >= 2) THEN 'insufficient' WHEN points >= 10 THEN 'strong' WHEN points >= 7 THEN 'sufficient' WHEN points >= 4 THEN 'marginal' ELSE 'insufficient' END AS level FROM p)"""
+
+
+def levels(t):
+    t3 = lexical_hits(t).filter("rank <= 3").groupBy("item_id").agg((F.avg("score") / 100).alias("top3"))
+    s = need_state(t).join(t3, "item_id", "left").withColumn("top3", F.coalesce("top3", F.lit(0.0)))
+    return s.select("item_id", planning.sufficiency(F.col("found"), F.col("sources"), F.col("top3"), F.least(F.lit(1.0), F.col("found") / 8), F.col("contradictions")).alias("level"))
+
+
+@query("sufficiency_level", f"WITH {SUFF} SELECT item_id, level FROM lv")
+def _(t):
+    return levels(t)
+
+
+ITER = "ip(pattern, a, b, c, d, e) AS (VALUES " + ", ".join(f"('{p}', {a}, {b}, CAST({c} AS DOUBLE), {d}, {e})" for p, a, b, c, d, e in P.ITERATION_POLICY) + ")"
+
+
+@query("iteration_policy", f"WITH {TURNS}, {ITER}, c AS (SELECT conv_id, turn, {PATTERN} AS pattern FROM t) SELECT conv_id, turn, pattern, coalesce(a, 1) AS min_iterations, coalesce(b, 3) AS max_iterations, coalesce(c, 0.5) AS coverage_wanted, coalesce(d, false) AS resolve_conflicts, coalesce(e, true) AS fast_path FROM c LEFT JOIN ip USING (pattern)")
+def _(t):
+    c = t.conversations.select("conv_id", "turn", F.struct("conv_id", "turn").alias("k"), planning.question_pattern(F.col("text")).alias("pattern"))
+    return planning.iteration_policy(c, "k").select("k.conv_id", "k.turn", "pattern", "min_iterations", "max_iterations", "coverage_wanted", "resolve_conflicts", "fast_path")
+
+
+@query("adaptive_decision", f"WITH {SUFF} SELECT item_id, CASE WHEN item_id % 5 + 1 >= 4 THEN 'synthesize' WHEN item_id % 2 > 0 AND item_id % 5 + 1 < 3 THEN 'continue' WHEN level = 'strong' THEN 'synthesize' WHEN level = 'sufficient' AND item_id % 2 = 0 THEN 'synthesize' ELSE 'continue' END AS decision FROM lv")
+def _(t):
+    s = levels(t).withColumns({"iteration": F.col("item_id") % 5 + 1, "limit": F.lit(4), "pending": F.col("item_id") % 2, "min_iterations": F.lit(1), "max_iterations": F.lit(3), "resolve_conflicts": F.lit(False), "gain_stops": F.lit(False)})
+    return s.select("item_id", planning.decision(s).alias("decision"))
+
+
+@query("decompose_topics")
 def _(t):
-    s = need_state(t)
-    return s.select("item_id", planning.sufficiency(F.col("found"), F.col("sources"), F.col("best"), F.least(F.lit(1.0), F.col("found") / 8), F.col("contradictions")).alias("level"))
+    return planning.topics(t.conversations.withColumn("k", F.struct("conv_id", "turn")), "k").select("k.conv_id", "k.turn", "topic_no", "topic")
+
+
+@query("verification_gate", f"WITH {BM25}, g AS (SELECT item_id, count(*) AS n, max(score) / 100 AS best, CASE WHEN count(*) >= 3 THEN stddev_samp(score) / avg(score) END AS cv FROM lex GROUP BY 1) SELECT b.item_id, coalesce(n, 0) > 0 AND NOT coalesce(best < 0.8, false) AND NOT coalesce(cv > 0.3, false) AS skip FROM benchmark b LEFT JOIN g USING (item_id)")
+def _(t):
+    g = lexical_hits(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), (F.max("score") / 100).alias("best"), F.when(F.count(F.lit(1)) >= 3, F.stddev_samp("score") / F.avg("score")).alias("cv"))
+    j = t.benchmark.select("item_id").join(g, "item_id", "left")
+    return j.select("item_id", planning.skip_verification(F.coalesce("n", F.lit(0)), F.lit("low"), F.col("best"), F.col("cv")).alias("skip"))
 
 
 @query("absent_information", f"WITH {BM25}, p AS (SELECT item_id, max({COVER}) AS c FROM (SELECT item_id, {terms_sql('b.text', 4, X.RELEVANCE_STOP)} AS a, {terms_sql('d.text', 4, X.RELEVANCE_STOP)} AS b FROM lex JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)) GROUP BY 1) SELECT item_id, round(c, 6) AS best_overlap, c < 0.2 AS absent FROM p")
@@ -280,3 +317,74 @@ def _(t):
 def _(t):
     n = t.conversations.select(F.concat_ws("/", F.lit("notes"), "conv_id", F.concat("turn", F.lit(".md"))).alias("path"), F.concat(F.lit("---\ntitle: T\ntags: [a, b]\n---\n# Head\n"), "text", F.lit("\n## Sub\n[[x/y#z|w]] #tag\n")).alias("content"))
     return files.parse_notes(n).select("path", "title", F.size("tags").alias("n_tags"), F.size("sections").alias("n_sections"), F.size("links").alias("n_links"))
+
+
+# ---- extraction and linking ------------------------------------------------------------------------------------------------
+
+@query("relation_extraction")
+def _(t):
+    return extraction.relations(t.documents)
+
+
+@query("metric_values")
+def _(t):
+    return extraction.metric_values(t.documents, ["doc_id"])
+
+
+@query("entity_normalisation", r"""WITH n AS (SELECT c_name AS name, trim(regexp_replace(trim(c_name), '(?i)^(the|a|an)\s+|\s+(inc|corp|co|ltd|llc)\.?$', '', 'g')) AS n FROM customer), c AS (SELECT name, n, trim(regexp_replace(n, '(?i) (?:database|db|engine|system|platform|line|project|feature|tool|api|inc|corp|co|ltd|llc)$', '')) AS cut FROM n)
+  SELECT name, array_to_string(list_transform(list_filter(string_split_regex(CASE WHEN length(cut) >= 2 THEN cut ELSE n END, '\s+'), lambda w: w <> ''), lambda w: CASE WHEN lower(w) = w THEN upper(w[1]) || lower(w[2:]) ELSE w END), ' ') AS entity FROM c""")
+def _(t):
+    return t.customer.select(F.col("c_name").alias("name"), extraction.entity_name(F.col("c_name")).alias("entity"))
+
+
+@query("heading_detection", rf"""WITH {r"lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents)"}, x AS (SELECT doc_id, trim(t) AS t FROM lines)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (t <> '' AND length(t) < 60 AND (upper(t) = t AND regexp_matches(t, '[A-Z]') OR t LIKE '%:' OR regexp_matches(t, '^[A-Z]') AND NOT regexp_matches(t, '[.!?,;]$') AND len(string_split_regex(t, '\s+')) <= 8)) AS headings FROM x GROUP BY 1""")
+def _(t):
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(extraction.plain_heading(F.col("t"))).alias("headings"))
+
+
+@query("entity_linking", "SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS word FROM documents) JOIN (SELECT DISTINCT lower(lang) AS word FROM documents) USING (word)")
+def _(t):
+    names = t.documents.select(F.lower("lang").alias("id"), F.col("lang").alias("name")).distinct()
+    return extraction.linked_entities(t.documents, names, "doc_id").withColumnRenamed("id", "word")
+
+
+@query("similar_names", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON lower(substring(p_name, 1, 2)) = lower(substring(s_name, 1, 2)) AND 1 - levenshtein(lower(p_name), lower(s_name)) / greatest(length(p_name), length(s_name)) >= 0.8")
+def _(t):
+    return extraction.similar_names(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).select("a", "b")
+
+
+@query("predicate_groups", "SELECT event_id, CASE event_type WHEN 'view' THEN 'view' ELSE lower(trim(event_type)) END AS predicate FROM events")
+def _(t):
+    return t.events.select("event_id", extraction.predicate_group(F.col("event_type")).alias("predicate"))
+
+
+@query("metadata_filter", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
+def _(t):
+    k = F.get_json_object("props", "$.k")
+    return t.events.filter(k.isNotNull() & (F.col("event_type") == "click")).select("event_id", k.alias("k"))
+
+
+@query("path_masking", "SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS leaf FROM pages")
+def _(t):
+    return t.pages.select("page_id", F.element_at(F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "/"), -1).alias("leaf"))
+
+
+@query("evidence_blocks", f"WITH {BM25} SELECT item_id, string_agg('[' || rank || '] ' || substring(replace(text, chr(10), ' '), 1, 800), chr(10) ORDER BY rank) AS block FROM lex JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1")
+def _(t):
+    h = lexical_hits(t).filter("rank <= 5").join(t.documents.select("doc_id", "text"), "doc_id")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 800))
+    return h.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("block"))
+
+
+@query("document_read_back", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')), chr(10) || chr(10)) AS text FROM documents")
+def _(t):
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).filter(F.col("text").rlike(r"\S"))
+    return sinks.read_back(lines)
+
+
+@query("knowledge_base_status", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM embeddings) > 0 AS ready")
+def _(t):
+    d = t.documents.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources"))
+    return d.crossJoin(t.embeddings.agg(F.count(F.lit(1)).alias("vectors"))).withColumn("ready", F.col("vectors") > 0)
