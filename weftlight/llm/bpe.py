@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, texts_of
+from weftlight.llm.common import blocks, columns, resident, texts_of
 from weftlight.llm.pretokens import Cache, WordPretokens, added_tokens, segments, spec
 
 
@@ -110,9 +110,8 @@ class WordBpeCodec:
         return " ".join(map(self._strings.__getitem__, ids.split(" "))) if ids else ""
 
 
-@functools.cache
 def codec(path: str) -> WordBpeCodec:
-    return WordBpeCodec(path)
+    return resident(("bpe", path), lambda: WordBpeCodec(path))
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

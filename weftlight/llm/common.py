@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,21 @@ def frequent(counts: DataFrame, key: str, n: str = "n", most: int = HOT_ENTRIES)
     return 1 << cut
 
 
+_RESIDENT: list = [None, None]
+
+
+def resident(key, make: Callable[[], object] = lambda: None):
+    """What one operator keeps in a Python worker between tasks; another operator's call lets go of it first.
+
+    Workers are reused, so caches of several operators would otherwise pile up in an executor's memory.
+    """
+    if _RESIDENT[0] != key:
+        _RESIDENT[:] = [None, None]
+        gc.collect()
+        _RESIDENT[:] = [key, make()]
+    return _RESIDENT[1]
+
+
 def texts_of(batch, name: str = "text") -> list[str]:
     """A string column of an Arrow batch as Python strings, null as empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

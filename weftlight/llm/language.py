@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, crc_fold, texts_of
+from weftlight.llm.common import blocks, columns, crc_fold, resident, texts_of
 from weftlight.llm.pretokens import Cache
 
 #: Buckets of hashed features, training texts for each language, passes over them.
@@ -236,6 +236,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     extra = "lang_pred string, score double" + (", switches array<struct<word:int,lang:string>>" if spans else "")
 
     def run(batches):
+        resident("language")
         m = shared.value
         k = len(m.languages)
         met: list[str] = []
@@ -244,7 +245,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             met.append(word)
             return len(met) - 1
 
-        cache = Cache(number)
+        cache = Cache(number, 200_000)
         table = np.empty((0, k + 1), np.float32)
         for b in blocks(batches, 4 << 20):
             texts = [tokens(t) for t in texts_of(b, f"_{at}")]
@@ -278,9 +279,9 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             if spans:
                 out.append(pa.array(spanned, pa.list_(pa.struct([("word", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*names, "lang_pred", "score", *(["switches"] if spans else [])])
-            if len(met) > 1_000_000:  # emissions are kept for a bounded number of words
+            if len(met) > 400_000:  # emissions are kept for a bounded number of words
                 met.clear()
-                cache = Cache(number)
+                cache = Cache(number, 200_000)
                 table = table[:0]
 
     flat = docs.toDF(*names).mapInArrow(run, f"{kinds}, {extra}")

@@ -8,7 +8,6 @@ record, then the masked CRC-32 of those. The mask is the rotation and addition t
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, new_path, texts_of, written
+from weftlight.llm.common import blocks, new_path, resident, texts_of, written
 from weftlight.llm.pretokens import Cache, WordPretokens, library, segments
 
 MAGIC = b"WLIX1"
@@ -140,7 +139,7 @@ class WordIds:
             ids = [t.id for t in tokenize(w)]
             return pack(f"<{len(ids)}{letter}", *ids)
 
-        self.words = Cache(word)
+        self.words = Cache(word, 150_000)
         self.chunks = Cache(lambda c: b"".join([self.words[w] for w in self.cut.pretokens(c)]))
 
     def encode(self, text: str) -> bytes:
@@ -153,9 +152,8 @@ class WordIds:
         return b"".join(out)
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return resident(("word ids", path), lambda: WordIds(path))
 
 
 def write_token_records(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import HOT_CHARS, HOT_ENTRIES, blocks, columns, frequent, texts_of, written
+from weftlight.llm.common import HOT_CHARS, HOT_ENTRIES, blocks, columns, frequent, resident, texts_of, written
 from weftlight.llm.pretokens import BytePretokens, Cache, library, segments
 
 #: Distinct chunks that a task gathers before it hands its counts on.
 TASK_ENTRIES = 300_000
 
 
-@functools.cache
 def cutter(path: str) -> BytePretokens:
-    return BytePretokens(path)
+    return resident(("pretokens", path), lambda: BytePretokens(path))
 
 
 def pretoken_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
