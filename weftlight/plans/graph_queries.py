@@ -250,3 +250,60 @@ def _(t):
     # both sides meet in the hours that an interval touches, so the range predicate follows an equi-join
     left = o.select("*", F.explode(F.sequence(hour("a"), hour("b"), F.expr("interval 1 hour"))).alias("h"))
     return left.join(t.events.select("ts", hour("ts").alias("h")), "h").filter("ts >= a and ts < b").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- export, traces, promotion -----------------------------------------------------------------------------------------------
+
+
+@query("graph_export", f"WITH {EDGES}, n AS (SELECT 'r' || r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier) SELECT src, dst, kind, a.label AS src_label, substring(b.label, 1, 24) AS dst_label FROM edges JOIN n a ON src = a.id JOIN n b ON dst = b.id")
+def _(t):
+    node = lambda df, p, k, name: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.col(name).alias("label"))
+    n = node(t.region, "r", "r_regionkey", "r_name").unionByName(node(t.nation, "n", "n_nationkey", "n_name")).unionByName(node(t.supplier, "s", "s_suppkey", "s_name"))
+    # edges with an end that has no node go
+    e = edges(t).join(n.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(n.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
+    return e.select("src", "dst", "kind", "src_label", F.substring("dst_label", 1, 24).alias("dst_label"))
+
+
+@query("reasoning_trace", "WITH c AS (SELECT *, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn AS src, next_turn AS dst, CASE WHEN role = 'user' AND next_role = 'assistant' THEN 'answered_by' WHEN role = 'assistant' AND next_role = 'user' THEN 'followed_by' ELSE 'precedes' END AS label FROM c WHERE next_turn IS NOT NULL")
+def _(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t.conversations.select("conv_id", "turn", "role", F.lead("turn").over(w).alias("dst"), F.lead("role").over(w).alias("r")).filter("dst is not null")
+    label = F.when((F.col("role") == "user") & (F.col("r") == "assistant"), "answered_by").when((F.col("role") == "assistant") & (F.col("r") == "user"), "followed_by").otherwise("precedes")
+    return c.select("conv_id", F.col("turn").alias("src"), "dst", label.alias("label"))
+
+
+@query("node_timings", "SELECT event_id, date_diff('second', lag(ts) OVER w, ts) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def _(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = lambda c: F.unix_seconds(F.date_trunc("second", c).cast("timestamp"))
+    return t.events.select("event_id", (at(F.col("ts")) - F.lag(at(F.col("ts"))).over(w)).alias("seconds"))
+
+
+@query("memory_promotion", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value >= 20 AND props IS NOT NULL AND event_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    return t.events.filter("event_type = 'purchase' AND value >= 20 AND props IS NOT NULL").join(t.labels.select(F.col("doc_id").alias("event_id")), "event_id", "left_anti").select("event_id", "user_id", "value")
+
+
+@query("priority_limits", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) WHERE r <= CASE WHEN s_acctbal > 5000 THEN 10 WHEN s_acctbal > 0 THEN 7 ELSE 5 END")
+def _(t):
+    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 5000, "high").when(F.col("s_acctbal") > 0, "medium").otherwise("low").alias("p"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
+    r = t.lineitem.join(s, "l_suppkey").withColumn("r", F.row_number().over(w))
+    return r.filter(F.col("r") <= planning.results_per_need(F.col("p"), 5)).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("gap_dedupe", "SELECT event_type, lower(json_extract_string(props, '$.k')) AS k, min(event_id) AS first FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    k = F.lower(F.get_json_object("props", "$.k"))
+    return t.events.filter(k.isNotNull()).groupBy("event_type", k.alias("k")).agg(F.min("event_id").alias("first"))
+
+
+@query("entity_cooccurrence", "WITH p AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.b AS a, y.b AS b, count(*) AS n FROM p x JOIN p y ON x.o = y.o AND x.b < y.b GROUP BY 1, 2")
+def _(t):
+    p = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o"), F.col("p_brand").alias("b")).distinct()
+    return p.withColumnRenamed("b", "a").join(p, "o").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hash_checksums", "SELECT conv_id, turn, sha256(text) AS sha, md5(text) AS md FROM conversations")
+def _(t):
+    return t.conversations.select("conv_id", "turn", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
