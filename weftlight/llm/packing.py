@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 
@@ -12,11 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, texts_of, written
+from weftlight.llm.common import blocks, columns, resident, texts_of, written
 from weftlight.llm.pretokens import BytePretokens, Cache, byte_level, library, segments
 
-#: Pieces that one local task packs at about, the least number of such tasks, and how many nodes a node of the tree merges.
-PIECES_PER_TASK, LEAST_TASKS, FAN_IN = 200_000, 16, 8
+#: Pieces that one local task packs at most, at about; up to SPREAD tasks have FEW_PIECES each, as few pieces pack worse the
+#: more tasks they are dealt to; and how many nodes a node of the tree merges.
+PIECES_PER_TASK, FEW_PIECES, SPREAD, FAN_IN = 200_000, 4_000, 16, 8
 
 
 class ByteIds:
@@ -30,7 +30,7 @@ class ByteIds:
             ids = [t.id for t in tokenize(byte_level(w))]
             return pack(f"<{len(ids)}I", *ids)
 
-        words, pretokens = Cache(word), self.cut.pretokens
+        words, pretokens = Cache(word, 150_000), self.cut.pretokens
 
         def chunk(c: str) -> bytes:
             found = pretokens(c)
@@ -54,9 +54,8 @@ class ByteIds:
         return b"".join(out)
 
 
-@functools.cache
 def byte_ids(path: str) -> ByteIds:
-    return ByteIds(path)
+    return resident(("byte ids", path), lambda: ByteIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +185,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
     spark = docs.sparkSession
     cut = written(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     short = cut.filter(F.col("length") < capacity)
-    tasks = max(LEAST_TASKS, -(-short.count() // PIECES_PER_TASK))
+    n = short.count()
+    tasks = max(1, min(SPREAD, -(-n // FEW_PIECES)), -(-n // PIECES_PER_TASK))
     local = short.repartition(tasks, F.xxhash64("_uid", "piece")).mapInArrow(_pack_partition(capacity), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", bin long, bin_offset long, fill long")
     local = written(local, "bins")
     top = local.agg(F.max(F.shiftright("bin", 40))).collect()[0][0] or 0
