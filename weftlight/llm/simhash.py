@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, texts_of, written
+from weftlight.llm.common import blocks, columns, resident, texts_of, written
 from weftlight.llm.components import components
 
 #: Members of a bucket that one task compares pair by pair at most; fuller buckets are linked through shared neighbours.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        resident("simhash")
         for b in blocks(batches, 8 << 20):
             fps = b"".join([simhash(words(t), size, seed) for t in texts_of(b, text_col)])
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=[id_col, "fp"])
@@ -181,7 +182,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 4, radius: int = 4, s
 
 
 #: Linked pairs of a bucket with at most so many members are all proposed; in fuller ones each member has so many nearest.
-SMALL_BUCKET, NEAREST = 32, 3
+SMALL_BUCKET, NEAREST = 12, 1
 
 
 def _proposed(rows: np.ndarray, radius: int) -> np.ndarray:
@@ -210,22 +211,51 @@ def proposals(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     Like links(), but a small bucket gives all its linked pairs, so that losing one to verification loses no other.
     """
     masks = covering_masks(radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k")).select("fp", F.xxhash64("t", "k").alias("k"))
-    counted = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
-    two = counted.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
-    lists = keyed.join(counted.filter((F.col("n") > 2) & (F.col("n") <= bucket)).select("k"), "k").groupBy("k").agg(F.collect_list("fp").alias("m")).select("m")
+    # few narrow rows become many here, so they are dealt out first; then one exchange brings the buckets together
+    keyed = fps.repartition("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k")).select(F.xxhash64("t", "k").alias("k"), "fp")
 
-    def run(batches):
-        for b in batches:
-            out = [_proposed(np.unique(np.array(m, np.int64)).view(np.uint64), radius) for m in b.column("m").to_pylist()]
-            if out:
-                e = np.unique(np.concatenate(out, axis=1), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+    def pairs_of(fp: np.ndarray, start: np.ndarray, size: np.ndarray):
+        for n in np.unique(size).tolist():
+            if n < 2:
+                continue
+            rows = np.sort(fp[start[size == n][:, None] + np.arange(n)].view(np.uint64), axis=1)
+            if n == 2:
+                yield rows[np.bitwise_count(rows[:, 0] ^ rows[:, 1]) <= radius].T
+            else:
+                yield from (_proposed(np.unique(r), radius) for r in rows)
 
-    out = two.unionByName(lists.mapInArrow(run, "a long, b long"))
-    crowded = counted.filter(F.col("n") > bucket).select("k")
+    def run(batches):
+        """Walks through buckets in order; at most one bucket is kept from batch to batch, and never more than `bucket` of it."""
+        k, fp, full = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in (*batches, None):
+            crowd = [np.empty(0, np.int64)]
+            if batch is not None:
+                k, fp = np.concatenate([k, batch.column("k").to_numpy()]), np.concatenate([fp, batch.column("fp").to_numpy()])
+            if full is not None:
+                own = k == full
+                crowd.append(fp[own])
+                k, fp = k[~own], fp[~own]
+            start = np.flatnonzero(np.diff(k, prepend=k[:1] ^ 1)) if len(k) else np.empty(0, np.int64)
+            size = np.diff(start, append=len(k))
+            last = 0 if batch is None or not len(start) else size[-1]
+            if last > bucket:
+                full, last = k[-1], 0
+            big = size > bucket
+            for i in np.flatnonzero(big).tolist():
+                crowd.append(fp[start[i] : start[i] + size[i]])
+            done = ~big
+            if last:
+                done[-1] = False
+            e = np.concatenate([np.empty((2, 0), np.uint64), *pairs_of(fp, start[done], size[done])], axis=1)
+            k, fp = k[len(k) - last :], fp[len(fp) - last :]
+            e, c = np.unique(e, axis=1).view(np.int64), np.concatenate(crowd)
+            if e.shape[1] or len(c):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[0], c])), pa.concat_arrays([pa.array(e[1]), pa.nulls(len(c), pa.int64())])], names=["a", "b"])
+
+    found = written(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long"), "proposed")
+    out, crowded = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if not crowded.isEmpty():
-        out = out.unionByName(neighbour_links(written(keyed.join(crowded, "k").select("fp").distinct(), "crowded"), radius - radius % 2))
+        out = out.unionByName(neighbour_links(written(crowded, "crowded"), radius - radius % 2))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
