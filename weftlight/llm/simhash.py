@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing, linked exactly within a Hamming radius."""
+"""SimHash near-duplicates by covering LSH, linked exactly within a Hamming radius; near duplicates by shingle similarity."""
 
 from __future__ import annotations
 
@@ -178,7 +178,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 4, radius: int = 4, s
     return rows.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# ---- near duplicates by shingle similarity: fingerprints only propose, whole texts decide --------------------------------
+# ---- near duplicates by shingle similarity: buckets only propose, whole texts decide -----------------------------------
 
 
 #: Linked pairs of a bucket with at most so many members are all proposed; in fuller ones each member has so many nearest.
@@ -285,31 +285,60 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, print_size: int = 2, seeds: tuple[int, ...] = (42, 7, 11)) -> DataFrame:
+#: Minima of a text's shingle hashes under BANDS * ROWS orders; texts that agree on all ROWS of some band share a bucket.
+BANDS, ROWS = 40, 5
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_FOLDS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64).reshape(BANDS, ROWS) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key per band of the least shingle hashes: two texts of Jaccard similarity j agree on one with probability j^ROWS."""
+    low = h.astype(np.uint64).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 2048):
+        np.minimum(least, (low[i : i + 2048, None] * _ORDERS).min(axis=0), out=least)
+    k = (least.reshape(BANDS, ROWS).astype(np.uint64) * _FOLDS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    k = (k ^ k >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (k ^ k >> np.uint64(29)).view(np.int64)
+
+
+def bands(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """(id, n, k): BANDS keys of every row (id, text), with the number of different shingles."""
+
+    def run(batches):
+        resident("bands")
+        for b in blocks(batches, 8 << 20):
+            hashes = [shingle_hashes(words(t), size, seed) for t in texts_of(b)]
+            n = np.array([len(np.unique(h)) for h in hashes], np.int32)
+            k = np.concatenate([band_keys(h) for h in hashes])
+            ids = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS)), pa.array(k)], names=["id", "n", "k"])
+
+    return docs.mapInArrow(run, "id long, n int, k long")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """The rows of docs, all columns, without near duplicates: of each group linked by similar texts the smallest id stays.
 
-    Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more.
-    Covering LSH over SimHash fingerprints proposes pairs within `radius` bits in the fingerprint of any seed (of shingles
-    of print_size words, which small edits move less), whole texts decide, and groups are the components of the pairs that
-    pass. So no text goes that has no similar one; pairs further apart than the radius under every seed are not met
-    (README has the measured recall). Buckets too full to compare propose pairs within the even part of the radius.
-    Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows with a null id always stay.
+    Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more. Texts
+    that share a bucket of least shingle hashes (see `band_keys`) are proposed, whole texts decide, and groups are the
+    components of the pairs that pass; so no text goes that has no similar one. Whether a pair shares a bucket depends on
+    its similarity alone, not on where the texts differ: at 0.8 it misses all of them with probability
+    (1 - 0.8^ROWS)^BANDS, about one in eight million, and above with less. All pairs of a bucket that can be similar by
+    their sizes are verified. Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows
+    with a null id always stay.
     """
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     d = flat.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = None
-    for seed in seeds:
-        prints = written(fingerprints(d, print_size, seed, "id", "text"), "fingerprints")
-        heads = written(prints.groupBy("fp").agg(F.min("id").alias("head")), "nodes")
-        same = prints.join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-        pairs = proposals(heads.select("fp"), radius)
-        near = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        part = written(same.unionByName(near), "pairs")
-        found = part if found is None else found.unionByName(part)
+    keyed = written(bands(d, size, seed), "bands")
+    heads = written(keyed.groupBy("k").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("k", "head"), "heads")
+    shared = written(keyed.join(heads, "k"), "shared")
+    one, two = shared.select("k", F.col("id").alias("a"), F.col("n").alias("na")), shared.select("k", F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = F.least("na", "nb") >= least * F.greatest("na", "nb")
     # texts are fetched only for pairs that were proposed
-    edges = similar(found.distinct(), d, size, least)
+    edges = similar(one.join(two, "k").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), d, size, least)
     named = written(components(edges), "groups")
     drop = named.join(named.groupBy("root").agg(F.min("node").alias("stays")), "root").filter("node <> stays").select(F.col("node").alias(key))
     return flat.join(drop, key, "left_anti").toDF(*names) if not drop.isEmpty() else docs
