@@ -44,3 +44,17 @@ def test_small_table_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert left(spark, rows) == smallest(rows)
+
+
+def test_a_group_of_near_copies_loses_no_link(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = {}
+    for i in range(500):
+        text = list(base)
+        for _ in range(rng.randrange(9)):
+            text[rng.randrange(300)] = f"e{rng.randrange(10**6)}"
+        rows[i] = " ".join(text)
+    want = smallest(rows)
+    assert 20 < len(want) < 300
+    assert left(spark, rows, block=64) == want

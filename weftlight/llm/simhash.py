@@ -181,34 +181,20 @@ def near_duplicate_components(docs: DataFrame, size: int = 4, radius: int = 4, s
 # ---- near duplicates by shingle similarity: buckets only propose, whole texts decide -----------------------------------
 
 
-#: Linked pairs of a bucket with at most so many members are all proposed; in fuller ones each member has so many nearest.
-SMALL_BUCKET, NEAREST = 12, 1
-
-
 def _proposed(rows: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs (2, n) to verify in one bucket: all linked ones if it is small, else each member's nearest before it and its first."""
+    """Pairs (2, n) to verify in one bucket: all within the radius."""
     m, out = len(rows), []
     for a in range(0, m, 256):
-        far = np.bitwise_count(rows[a : a + 256, None] ^ rows[None, : a + 256]).astype(np.int16)
-        i, j = np.indices(far.shape)
-        far[(j >= i + a) | (far > radius)] = 999
-        if m <= SMALL_BUCKET:
-            i, j = np.nonzero(far < 999)
-        else:
-            near = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
-            j = np.concatenate([near, (far < 999).argmax(axis=1)[:, None]], axis=1)
-            i = np.repeat(np.arange(len(far)), j.shape[1])
-            j = j.ravel()
-            ok = far[i, j] < 999
-            i, j = i[ok], j[ok]
+        near = np.bitwise_count(rows[a : a + 256, None] ^ rows[None, : a + 256]) <= radius
+        i, j = np.nonzero(np.tril(near, a - 1))
         out.append(np.stack([rows[j], rows[i + a]]))
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.uint64)
 
 
 def proposals(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints within the radius that are worth verifying; every linked one has some partner.
+    """(a, b): all pairs of distinct fingerprints within the radius that meet in a bucket of up to `bucket` members.
 
-    Like links(), but a small bucket gives all its linked pairs, so that losing one to verification loses no other.
+    Like links(), but with every linked pair, so that losing one to verification loses no other; fuller buckets give links.
     """
     masks = covering_masks(radius)
     # few narrow rows become many here, so they are dealt out first; then one exchange brings the buckets together
@@ -317,15 +303,90 @@ def bands(docs: DataFrame, size: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n int, k long")
 
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+#: Members of a bucket that meet in one task are those of two blocks of about so many.
+BLOCK = 128
+
+
+def _common(hashes: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common; those of one set only are left out before."""
+    m = len(hashes)
+    own = np.repeat(np.arange(m), [len(h) for h in hashes])
+    _, col, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    own, col = own[n[col] > 1], place[col[n[col] > 1]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+        a, b = np.searchsorted(col, (lo, lo + 8192))
+        has = np.zeros((m, 8192), np.float32)
+        has[own[a:b], col[a:b] - lo] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def across(members: DataFrame, docs: DataFrame, size: int, seed: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of ids of one bucket but different groups whose sets of shingle hashes have the similarity `least`.
+
+    members: k (bucket), id, n (different shingles), root (group), c (members of the bucket). Each two blocks of a bucket
+    meet in one place, where all pairs are compared without becoming rows. Pairs in several buckets count in the first.
+    """
+
+    def hashed(batches):
+        resident("across")
+        for b in blocks(batches, 8 << 20):
+            h = [np.unique(shingle_hashes(words(t), size, seed).astype(np.uint64)) for t in texts_of(b)]
+            keys = [band_keys(x).tobytes() for x in h]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in h], pa.binary()), pa.array(keys, pa.binary())], names=["id", "h", "keys"])
+
+    def pairs(k: int, apart: bool, rows: list[tuple]):
+        ids, n, root, side = (np.array([r[i] for r in rows]) for i in range(4))
+        keys = np.stack([np.frombuffer(r[5], np.int64) for r in rows])
+        fit = (root[:, None] != root) & (ids[:, None] < ids) & (np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n))
+        if apart:
+            fit &= side[:, None] != side
+        i, j = np.nonzero(fit)
+        first = np.concatenate([np.empty(0, np.int64), *((keys[i[s : s + 65536]] == keys[j[s : s + 65536]]).argmax(axis=1) for s in range(0, len(i), 65536))])
+        i, j = i[keys[i, first] == k], j[keys[i, first] == k]
+        if not len(i):
+            return ids[i], ids[j]
+        both = _common([np.frombuffer(r[4], np.uint64) for r in rows])[i, j]
+        keep = both >= least * (n[i] + n[j] - both)
+        return ids[i[keep]], ids[j[keep]]
+
+    def run(batches):
+        at, rows = None, []
+        for b in (x for batch in batches for x in blocks([batch], 4 << 20)):
+            out = []
+            for k, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("k", "p", "q", "id", "n", "root", "side", "h", "keys")), strict=True):
+                if (k, p, q) != at:
+                    if len(rows) > 1:
+                        out.append(pairs(at[0], at[1] != at[2], rows))
+                    at, rows = (k, p, q), []
+                rows.append(row)
+            yield batch_of(out)
+        yield batch_of([pairs(at[0], at[1] != at[2], rows)] if len(rows) > 1 else [])
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(o[x] for o in out)])) for x in (0, 1)], names=["a", "b"])
+
+    texts = written(docs.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(hashed, "id long, h binary, keys binary"), "hashes")
+    dealt = members.withColumn("m", F.ceil(F.col("c") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "id", "n", "root", "side")
+    met = dealt.join(texts, "id").repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, without near duplicates: of each group linked by similar texts the smallest id stays.
 
     Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more. Texts
     that share a bucket of least shingle hashes (see `band_keys`) are proposed, whole texts decide, and groups are the
     components of the pairs that pass; so no text goes that has no similar one. Whether a pair shares a bucket depends on
     its similarity alone, not on where the texts differ: at 0.8 it misses all of them with probability
-    (1 - 0.8^ROWS)^BANDS, about one in eight million, and above with less. All pairs of a bucket that can be similar by
-    their sizes are verified. Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows
+    (1 - 0.8^ROWS)^BANDS, about one in eight million, and above with less. A bucket's members are
+    verified with its first, then all its pairs that this left in different groups, so none is lost to a failed proposal
+    and members of one group cost as much as there are of them. Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows
     with a null id always stay.
     """
     names = docs.columns
@@ -335,10 +396,14 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8,
     keyed = written(bands(d, size, seed), "bands")
     heads = written(keyed.groupBy("k").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("k", "head"), "heads")
     shared = written(keyed.join(heads, "k"), "shared")
-    one, two = shared.select("k", F.col("id").alias("a"), F.col("n").alias("na")), shared.select("k", F.col("id").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= least * F.greatest("na", "nb")
-    # texts are fetched only for pairs that were proposed
-    edges = similar(one.join(two, "k").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), d, size, least)
+    # every member of a bucket with its first; texts are fetched only for pairs that were proposed
+    edges = written(similar(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), d, size, least), "links")
+    groups = written(components(edges), "groups").select(F.col("node").alias("id"), "root")
+    # then what is left: pairs of a bucket that are not yet in one group
+    placed = written(shared.join(groups, "id", "left").select("k", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+    mixed = placed.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("c")).filter("r <> s").select("k", "c")
+    rest = written(across(written(placed.join(mixed, "k"), "open"), d, size, seed, least, block), "rest")
+    edges = edges.unionByName(similar(rest.distinct(), d, size, least))
     named = written(components(edges), "groups")
     drop = named.join(named.groupBy("root").agg(F.min("node").alias("stays")), "root").filter("node <> stays").select(F.col("node").alias(key))
     return flat.join(drop, key, "left_anti").toDF(*names) if not drop.isEmpty() else docs
