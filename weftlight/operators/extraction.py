@@ -142,7 +142,22 @@ def linked_entities(texts: DataFrame, names: DataFrame, key: str, text_col: str
 
 
 def similar_names(a: DataFrame, b: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): names (id, name) with an edit likeness of `least` or more that share their first two letters."""
-    k = lambda c: F.substring(F.lower(c), 1, 2)
-    p = a.select(F.col("id").alias("a"), F.lower("name").alias("x"), k("name").alias("k")).join(b.select(F.col("id").alias("b"), F.lower("name").alias("y"), k("name").alias("k")), "k")
-    return p.withColumn("likeness", 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    """(a, b, likeness): names (id, name) with an edit likeness of `least` (above zero) or more.
+
+    Names meet on letter pairs (single letters if least is under 0.75). An edit touches two pairs and shifts the others
+    by one at most, so names this alike have a pair in common within that many places; names under two letters are keys.
+    """
+    q = 2 if least >= 0.75 else 1
+    most = (1 - least) + 1e-9
+
+    def grams(df, name, at):
+        n = df.select(F.lower("name").alias(name)).filter(F.col(name).isNotNull()).distinct()
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (q - 1), F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(q)))
+        return n.select(name, F.posexplode(cut).alias(at, "k"))
+
+    longest = F.greatest(F.length("x"), F.length("y"))
+    near = (F.abs(F.length("x") - F.length("y")) <= most * longest) & (F.abs(F.col("i") - F.col("j")) <= most * longest)
+    p = grams(a, "x", "i").join(grams(b, "y", "j"), "k").filter(near).select("x", "y").distinct()
+    p = p.withColumn("likeness", 1 - F.levenshtein("x", "y") / F.greatest(longest, F.lit(1))).filter(F.col("likeness") >= least)
+    p = a.select(F.col("id").alias("a"), F.lower("name").alias("x")).join(p, "x").join(b.select(F.col("id").alias("b"), F.lower("name").alias("y")), "y")
+    return p.select("a", "b", "likeness")
