@@ -45,7 +45,7 @@ def _hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every feature: bias, form, shape, affixes and n-grams of one to three characters, ends marked."""
     n = len(words)
-    low = [w.lower()[:40] for w in words]
+    low = [w.lower() for w in words]
     code = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, low), np.int64, n)
     end = np.cumsum(size + 2)
