@@ -1,5 +1,6 @@
 """Token counts, packing and records against the tokenizers library on whole texts."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 
 from weftlight.llm import queries
 from weftlight.llm.common import new_path, tokenizer_path
-from weftlight.llm.packing import best_fit, pack
+from weftlight.llm.packing import ByteIds, best_fit, pack
 from weftlight.llm.pretokens import library
 from weftlight.llm.records import read_index, read_records, shuffled_records, token_records, unframe, write_token_records
 from weftlight.llm.tokencount import token_counts
@@ -17,6 +18,17 @@ SF = "/root/testdata/sf0.001"
 ODD = [(1, ""), (2, None), (3, "a <|endoftext|> b\n\n c"), (4, "word " * 4000), (4, "word " * 4000), (None, "no id"), (7, "x" * 3000), (8, "é ß \t q\n")]
 
 
+PARTS = ["a", "word", "Total:", "5", "é", "🙂", "'", "it's", ">", " ", "  ", "   ", "\t", "\r", "\n", "\n\n", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "<|endoftext|>", "½", "中文", "A1"]
+
+
+def test_white_space_of_every_kind_is_cut_as_by_the_library():
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(1)
+    ids, lib = ByteIds(path), library(path)
+    for _ in range(20_000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     odd = spark.createDataFrame([(a, b, "n", 1) for a, b in ODD], "doc_id long, text string, pretoken string, piece int")

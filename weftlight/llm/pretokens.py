@@ -14,10 +14,14 @@ from collections.abc import Callable
 
 import regex
 
-#: The word pattern of byte_bpe_50k (fixed value, from the published tokenizer); its alternatives exclude one another as ordered here.
+#: The word pattern of byte_bpe_50k (fixed value, from the published tokenizer). Words are by far the most frequent match, so
+#: their alternative is tried first, for speed; no two alternatives begin with the same character but blanks, so the order is free.
 BYTE_PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The word pattern of word_bpe_49k (fixed value, from its file).
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: White space other than the blank and the line end (fixed values): what Python's str.split or the library cuts at besides.
+_OTHER_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f"
+_OTHER_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of each of a cache's two generations, and the longest key that is kept.
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
@@ -109,6 +113,11 @@ def segments(path: str, text: str) -> list[tuple[str, int | None]]:
     return [(x, added.get(x)) for x in _added_pattern(path).split(text) if x]
 
 
+def other_spaces(text: str) -> bool:
+    """Whether the text has white space that is neither a blank nor a line end."""
+    return any(c in text for c in _OTHER_SPACES) or not text.isascii() and any(c in text for c in _OTHER_WIDE_SPACES)
+
+
 class BytePretokens:
     """byte_bpe_50k: chunks, and the pre-tokens of a chunk."""
 
@@ -128,11 +137,14 @@ class BytePretokens:
     def keys(self, text: str) -> tuple[list[str], bool]:
         """As chunks(); if the second value is true, without the space that begins every chunk but the first and those that begin with a line end.
 
-        That is so where single spaces and line ends are the only white space, none at either end.
+        That is so where single spaces and line ends are the only white space, none at either end. Without other white
+        space a piece holds one word at most, a line end only before it, so equal numbers of pieces and words mean that
+        every piece holds exactly one: none is empty and none a line end alone.
         """
-        pieces = text.replace("\n", " \n").split(" ")
-        if len(pieces) == len(text.split()) and pieces[0]:
-            return pieces, True
+        if not other_spaces(text):
+            pieces = text.replace("\n", " \n").split(" ")
+            if len(pieces) == len(text.split()):
+                return pieces, True
         return self.pretokens(text), False
 
     def pretokens(self, text: str) -> list[str]:
