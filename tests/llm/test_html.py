@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     got = X.extract(df).collect()
     assert len(got) == len(rows) and all(r["text"] is not None for r in got)
     assert X.extract(df.limit(0)).count() == 0
+
+
+def test_letters_that_grow_in_lower_case_lose_no_text():
+    trees = X.model()
+    page = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A {} title</h1>{}<script>var a = '</p>';</SCRIPT ><p>The article goes on with a sentence, and one more. It ends here.</p></article></body></html>"
+    for n in (1, 400):
+        body = "<p>This is a paragraph of the text, with a comma and a stop.</p>" * n
+        plain, odd = X.main_text([page.format("Istanbul", body), page.format("İİİstanbul", body)], trees)
+        assert "It ends here." in plain and odd == plain.replace("Istanbul", "İİİstanbul")

@@ -33,6 +33,8 @@ _CLOSES = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
+#: The end tag of each element of RAW, letters of either case; nothing else ends it.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
 _ATTR = re.compile(r"(class|id|role|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -86,8 +88,8 @@ class Page:
         find = _TOKEN.match
         while at < size:
             if raw:
-                end = source.lower().find("</" + raw, at) if len(source) < 1 << 16 else (m.start() if (m := re.compile("</" + raw, re.I).search(source, at)) else -1)
-                at, raw = (size if end < 0 else end), ""
+                m = _RAW_END[raw].search(source, at)
+                at, raw = m.start() if m else size, ""
                 continue
             m = find(source, at)
             at = m.end()
