@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftlight.llm import language as L
 
@@ -49,3 +50,18 @@ def test_switches_are_found(spark):
     df = spark.createDataFrame([(1, text["en"] + " " + text["fr"])], "doc_id long, text string")
     row = L.predict(df, model, spans=True).collect()[0]
     assert [s["lang"] for s in row["switches"]][0] == "en" and "fr" in [s["lang"] for s in row["switches"]]
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½ ² ① Ⅷ 三".replace(" 三", "")), (2, "² été"), (3, "中文"), (3, "中文"), (None, "x" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang")
+    got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in L.identify(docs.unionByName(spark.createDataFrame([(i, "a learned text", "en") for i in range(10, 30)], docs.schema))).collect() if (r["doc_id"] or 0) < 10)
+    assert got == [("1", "und"), ("2", "en"), ("3", "en"), ("3", "en"), ("None", "en")]
+
+
+def test_the_training_sample_is_the_first_rows_by_hash(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id, if(id % 10 = 0, repeat(' long', 2000), '')) as text", "if(id < 20, 'a', 'b') as lang")
+    got = L.training_texts(docs, 30)
+    assert sum(x == "a" for x, _ in got) == 20 and sum(x == "b" for x, _ in got) == 30 and not any(len(t) > 8000 for x, t in got if x == "b")
+    first = docs.filter("lang = 'b' and id % 10 <> 0".replace("id", "doc_id")).orderBy(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))).limit(30).collect()
+    assert {t for x, t in got if x == "b"} == {r["text"] for r in first}

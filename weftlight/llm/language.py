@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +27,13 @@ BUCKETS, TEXTS, EPOCHS = 1 << 16, 250, 6
 TEXT_CHARS = 8000
 #: Label of a text without letters.
 UNKNOWN = "und"
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
+_TOKEN = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters with inner apostrophes."""
-    return _TOKEN.findall(text)
+    """Runs of letters (Unicode's categories L) with inner apostrophes; numerals of any kind are none."""
+    return _ASCII_TOKEN.findall(text) if text.isascii() else _TOKEN.findall(text)
 
 
 def _hashed(parts: list[np.ndarray], salt: int) -> np.ndarray:
@@ -207,17 +209,27 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5,
 def training_texts(docs: DataFrame, per_language: int = TEXTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of labelled whole texts: of each language the per_language rows first in the order of a hash of the id.
 
-    Texts of at most TEXT_CHARS characters come before longer ones. The choice moves only hashes and lengths, in two
-    rounds so that no language meets in one task whole; then only the chosen texts are fetched.
+    Texts of at most TEXT_CHARS characters come before longer ones. The rows of each language and length are counted, and
+    only those whose hash lies below a cutoff that lets about twice the wanted number pass are ranked (a cutoff that lets
+    too few pass is raised); so no task or driver sees more however large a language is. Then the chosen texts are fetched.
     """
-    from pyspark.sql import Window
-
     rows = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("string")).alias("h"))
-    light = rows.select("lang", "h", (F.length("text") > TEXT_CHARS).alias("long"), F.pmod("h", F.lit(16)).alias("s"))
-    ranked = light.withColumn("r", F.row_number().over(Window.partitionBy("lang", "s").orderBy("long", "h"))).filter(F.col("r") <= per_language)
-    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).filter(F.col("r") <= per_language)
-    chosen = docs.sparkSession.createDataFrame(top.select("lang", "h").distinct().collect(), "lang string, h long")
-    got = rows.join(F.broadcast(chosen), ["lang", "h"]).collect()
+    light = rows.select("lang", (F.length("text") > TEXT_CHARS).alias("long"), F.pmod("h", F.lit(1 << 30)).alias("u"), "h")
+    counts = {(r["lang"], r["long"]): r["count"] for r in light.groupBy("lang", "long").count().collect()}
+    need = {(lang, long): max(0, per_language - (counts.get((lang, False), 0) if long else 0)) for lang, long in counts}
+    cut = {g: min(1 << 30, -(-(2 * need[g] + 200) * (1 << 30) // n)) for g, n in counts.items() if need[g]}
+    spark, chosen = docs.sparkSession, []
+    while cut:
+        table = spark.createDataFrame([(*g, c) for g, c in cut.items()], "lang string, long boolean, cut long")
+        got: dict[tuple, set] = {}
+        for r in light.join(F.broadcast(table), ["lang", "long"]).filter("u < cut").select("lang", "long", "u", "h").distinct().collect():
+            got.setdefault((r["lang"], r["long"]), set()).add((r["u"], r["h"]))
+        done = [g for g, c in cut.items() if c >= 1 << 30 or len(got.get(g, ())) >= need[g]]
+        chosen += [(g[0], h) for g in done for _, h in sorted(got.get(g, ()))[: need[g]]]
+        cut = {g: min(1 << 30, 4 * c) for g, c in cut.items() if g not in done}
+    if not chosen:
+        return []
+    got = rows.join(F.broadcast(spark.createDataFrame(sorted(set(chosen)), "lang string, h long")), ["lang", "h"]).collect()
     return sorted({(r["lang"], r["h"]): (r["lang"], r["text"]) for r in sorted(got, key=lambda r: r["text"])}.values())
 
 
@@ -226,7 +238,8 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
     A text's language is the one with the largest sum of word marginals, weighted by word length; the score is its share
     (0 to 1). Null, empty and letterless texts are `und` with score 0. Marginals are computed for a block of texts at a
-    time, so long texts need no more memory than their words.
+    time, so long texts need no more memory than their words. Repeated rows are predicted alike, an empty table gives no
+    row; columns of docs may have any name, lang_pred and score too, as the new ones are the last.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -294,6 +307,18 @@ def fit(docs: DataFrame, per_language: int = TEXTS, id_col: str = "doc_id", text
     return _fit(tuple(texts))
 
 
+def recognised(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in whose text the model finds a language; null, empty and letterless texts go.
+
+    Without a model (no labelled rows) every text with a letter stays. Repeated rows fare alike; an empty table gives none.
+    """
+    if model is None:
+        return docs.filter(docs[text_col].rlike(r"\p{L}"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = predict(docs.toDF(*names), model, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])
+    return found.filter(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
+
+
 @functools.lru_cache(2)
 def _fit(texts: tuple) -> Crf | None:
     model = train(list(texts)) if texts else None
