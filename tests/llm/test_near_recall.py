@@ -1,7 +1,10 @@
 import itertools
 import random
 
-from weftlight.llm.simhash import shingle_set, without_near_duplicates
+import xxhash
+
+from weftlight.llm.pretokens import Cache
+from weftlight.llm.simhash import shingle_codes, shingle_set, without_near_duplicates
 
 
 def smallest(rows):
@@ -15,6 +18,14 @@ def smallest(rows):
     return set(root.values())
 
 
+def test_hashed_shingles_equal_plain_ones():
+    codes = Cache(lambda w: xxhash.xxh64_intdigest(w, 42), 100)
+    for text in ("", "one", "a b c d e", "A B c d E f", "a b c d e a b c d e a b", " \t\n"):
+        assert len(shingle_codes(text, 5, codes)) == len(shingle_set(text, 5))
+    x, y = (shingle_codes(t, 5, codes) for t in ("a b c d e f g", "b c d e f g h"))
+    assert len(set(x.tolist()) & set(y.tolist())) == 2
+
+
 def left(spark, rows, **how):
     docs = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
     return {r["doc_id"] for r in without_near_duplicates(docs, **how).collect()}

@@ -24,9 +24,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="weftlight-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -41,21 +43,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that no result reads any more."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() from which nothing will be read any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(t._shared_path)
+        place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_fold(key: Column | str, parts: int) -> Column:

@@ -8,8 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import blocks, columns, resident, texts_of, written
+from weftlight.llm.common import blocks, columns, discard, resident, texts_of, written
 from weftlight.llm.components import components
+from weftlight.llm.pretokens import Cache
 
 #: Members of a bucket that one task compares pair by pair at most; fuller buckets are linked through shared neighbours.
 BUCKET = 8192
@@ -178,133 +179,97 @@ def near_duplicate_components(docs: DataFrame, size: int = 4, radius: int = 4, s
     return rows.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# ---- near duplicates by shingle similarity: buckets only propose, whole texts decide -----------------------------------
+# ---- near duplicates by shingle similarity: fingerprints and bands only propose, whole texts decide --------------------
 
+#: Minima of a text's shingle hashes under BANDS * ROWS orders; texts that agree on all ROWS of some band share a bucket.
+BANDS, ROWS = 40, 5
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_FOLDS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64).reshape(BANDS, ROWS) | np.uint64(1)
+#: Members of a bucket, and shingles of them, that meet in one task are those of two blocks of about so many.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
-def _proposed(rows: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs (2, n) to verify in one bucket: all within the radius."""
-    m, out = len(rows), []
-    for a in range(0, m, 256):
-        near = np.bitwise_count(rows[a : a + 256, None] ^ rows[None, : a + 256]) <= radius
-        i, j = np.nonzero(np.tril(near, a - 1))
-        out.append(np.stack([rows[j], rows[i + a]]))
-    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.uint64)
 
+def word_hashes() -> Cache:
+    """XXH64 of words, kept by a worker between tasks."""
+    return resident("word hashes", lambda: Cache(lambda w: xxhash.xxh64_intdigest(w, 42), 300_000))
 
-def proposals(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): all pairs of distinct fingerprints within the radius that meet in a bucket of up to `bucket` members.
 
-    Like links(), but with every linked pair, so that losing one to verification loses no other; fuller buckets give links.
-    """
-    masks = covering_masks(radius)
-    # few narrow rows become many here, so they are dealt out first; then one exchange brings the buckets together
-    keyed = fps.repartition("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k")).select(F.xxhash64("t", "k").alias("k"), "fp")
-
-    def pairs_of(fp: np.ndarray, start: np.ndarray, size: np.ndarray):
-        for n in np.unique(size).tolist():
-            if n < 2:
-                continue
-            rows = np.sort(fp[start[size == n][:, None] + np.arange(n)].view(np.uint64), axis=1)
-            if n == 2:
-                yield rows[np.bitwise_count(rows[:, 0] ^ rows[:, 1]) <= radius].T
-            else:
-                yield from (_proposed(np.unique(r), radius) for r in rows)
-
-    def run(batches):
-        """Walks through buckets in order; at most one bucket is kept from batch to batch, and never more than `bucket` of it."""
-        k, fp, full = np.empty(0, np.int64), np.empty(0, np.int64), None
-        for batch in (*batches, None):
-            crowd = [np.empty(0, np.int64)]
-            if batch is not None:
-                k, fp = np.concatenate([k, batch.column("k").to_numpy()]), np.concatenate([fp, batch.column("fp").to_numpy()])
-            if full is not None:
-                own = k == full
-                crowd.append(fp[own])
-                k, fp = k[~own], fp[~own]
-            start = np.flatnonzero(np.diff(k, prepend=k[:1] ^ 1)) if len(k) else np.empty(0, np.int64)
-            size = np.diff(start, append=len(k))
-            last = 0 if batch is None or not len(start) else size[-1]
-            if last > bucket:
-                full, last = k[-1], 0
-            big = size > bucket
-            for i in np.flatnonzero(big).tolist():
-                crowd.append(fp[start[i] : start[i] + size[i]])
-            done = ~big
-            if last:
-                done[-1] = False
-            e = np.concatenate([np.empty((2, 0), np.uint64), *pairs_of(fp, start[done], size[done])], axis=1)
-            k, fp = k[len(k) - last :], fp[len(fp) - last :]
-            e, c = np.unique(e, axis=1).view(np.int64), np.concatenate(crowd)
-            if e.shape[1] or len(c):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[0], c])), pa.concat_arrays([pa.array(e[1]), pa.nulls(len(c), pa.int64())])], names=["a", "b"])
-
-    found = written(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long"), "proposed")
-    out, crowded = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    if not crowded.isEmpty():
-        out = out.unionByName(neighbour_links(written(crowded, "crowded"), radius - radius % 2))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def shingle_codes(text: str, size: int, codes: Cache) -> np.ndarray:
+    """The set of a text's `size`-word shingles as sorted 64-bit hashes of their words' hashes; of the whole if it is shorter."""
+    tokens = words(text)
+    if not tokens:
+        return np.empty(0, np.uint64)
+    w = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    n = max(1, len(w) - size + 1)
+    h = w[:n].copy()
+    for k in range(1, min(size, len(w))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ h >> np.uint64(32))
 
 
 def shingle_set(text: str, size: int) -> set[bytes]:
+    """The same set as strings (the plain form, for comparisons)."""
     w = words(text)
     return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} or ({b" ".join(w)} if w else set())
 
 
-def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts' shingle sets have a Jaccard similarity of at least `least`."""
-
-    def run(batches):
-        for batch in batches:
-            for b in blocks([batch], 4 << 20):
-                last, keep = (None, set()), []
-                for x, y in zip(texts_of(b, "ta"), texts_of(b, "tb"), strict=True):
-                    if last[0] != x:
-                        last = (x, shingle_set(x, size))
-                    s, t = last[1], shingle_set(y, size)
-                    both = len(s & t)
-                    keep.append(both >= least * (len(s) + len(t) - both) if s or t else True)
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    one = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-#: Minima of a text's shingle hashes under BANDS * ROWS orders; texts that agree on all ROWS of some band share a bucket.
-BANDS, ROWS = 40, 5
-_ORDERS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_FOLDS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64).reshape(BANDS, ROWS) | np.uint64(1)
-
-
 def band_keys(h: np.ndarray) -> np.ndarray:
     """A key per band of the least shingle hashes: two texts of Jaccard similarity j agree on one with probability j^ROWS."""
-    low = h.astype(np.uint64).astype(np.uint32)
+    low = h.astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 2048):
-        np.minimum(least, (low[i : i + 2048, None] * _ORDERS).min(axis=0), out=least)
+    for i in range(0, len(low), 512):
+        np.minimum(least, (low[i : i + 512, None] * _ORDERS).min(axis=0), out=least)
     k = (least.reshape(BANDS, ROWS).astype(np.uint64) * _FOLDS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     k = (k ^ k >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return (k ^ k >> np.uint64(29)).view(np.int64)
 
 
-def bands(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(id, n, k): BANDS keys of every row (id, text), with the number of different shingles."""
+def bands(docs: DataFrame, size: int) -> DataFrame:
+    """(uid, n, k): BANDS keys of every row (uid, text), with the number of different shingles."""
 
     def run(batches):
-        resident("bands")
+        codes = word_hashes()
         for b in blocks(batches, 8 << 20):
-            hashes = [shingle_hashes(words(t), size, seed) for t in texts_of(b)]
-            n = np.array([len(np.unique(h)) for h in hashes], np.int32)
-            k = np.concatenate([band_keys(h) for h in hashes])
-            ids = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS)), pa.array(k)], names=["id", "n", "k"])
+            sets = [shingle_codes(t, size, codes) for t in texts_of(b)]
+            n = np.array([len(h) for h in sets], np.int32)
+            k = np.concatenate([band_keys(h) for h in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("uid").to_numpy(), BANDS)), pa.array(np.repeat(n, BANDS)), pa.array(k)], names=["uid", "n", "k"])
+
+    return docs.mapInArrow(run, "uid long, n int, k long")
+
 
-    return docs.mapInArrow(run, "id long, n int, k long")
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """(uid, h, keys): the set of shingle hashes and the band keys of every row (uid, text), eight bytes each."""
+
+    def run(batches):
+        codes = word_hashes()
+        for b in blocks(batches, 8 << 20):
+            sets = [shingle_codes(t, size, codes) for t in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([band_keys(h).tobytes() for h in sets], pa.binary())], names=["uid", "h", "keys"])
 
+    return docs.mapInArrow(run, "uid long, h binary, keys binary")
 
-#: Members of a bucket that meet in one task are those of two blocks of about so many.
-BLOCK = 128
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of uids whose sets of shingles (uid, h) have a Jaccard similarity of at least `least`."""
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks([batch], 4 << 20):
+                keep = []
+                for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
+                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    n = len(s) + len(t)
+                    fits = min(len(s), len(t)) >= least * max(len(s), len(t))
+                    both = n - len(np.unique(np.concatenate([s, t]))) if fits else 0
+                    keep.append(fits and both >= least * (n - both))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    one = pairs.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), "a")
+    both = one.join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def _common(hashes: list[np.ndarray]) -> np.ndarray:
@@ -316,49 +281,66 @@ def _common(hashes: list[np.ndarray]) -> np.ndarray:
     own, col = own[n[col] > 1], place[col[n[col] > 1]]
     order = np.argsort(col, kind="stable")
     own, col = own[order], col[order]
-    out = np.zeros((m, m), np.int64)
-    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
-        a, b = np.searchsorted(col, (lo, lo + 8192))
-        has = np.zeros((m, 8192), np.float32)
+    out = np.zeros((m, m), np.int32)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, b = np.searchsorted(col, (lo, lo + 4096))
+        has = np.zeros((m, 4096), np.float32)
         has[own[a:b], col[a:b] - lo] = 1
-        out += (has @ has.T).astype(np.int64)
+        out += (has @ has.T).astype(np.int32)
     return out
 
 
-def across(members: DataFrame, docs: DataFrame, size: int, seed: int, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of ids of one bucket but different groups whose sets of shingle hashes have the similarity `least`.
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the edges between the nodes a and b join two trees, taken in order: a spanning forest of all of them."""
+    up: dict[int, int] = {}
 
-    members: k (bucket), id, n (different shingles), root (group), c (members of the bucket). Each two blocks of a bucket
-    meet in one place, where all pairs are compared without becoming rows. Pairs in several buckets count in the first.
-    """
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    out = []
+    _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    for i in first.tolist():
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            up[x] = y
+            out.append(i)
+    return out
 
-    def hashed(batches):
-        resident("across")
-        for b in blocks(batches, 8 << 20):
-            h = [np.unique(shingle_hashes(words(t), size, seed).astype(np.uint64)) for t in texts_of(b)]
-            keys = [band_keys(x).tobytes() for x in h]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in h], pa.binary()), pa.array(keys, pa.binary())], names=["id", "h", "keys"])
+
+def across(members: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of uids that connect the same groups as all similar pairs of one bucket from different groups.
+
+    members: k (bucket), uid, n (different shingles), root (group), c and w (members and shingles of the bucket). Each two
+    blocks of a bucket meet in one place, where all pairs are compared without becoming rows and a spanning forest over
+    groups is returned. Pairs in several buckets count in the first.
+    """
 
     def pairs(k: int, apart: bool, rows: list[tuple]):
-        ids, n, root, side = (np.array([r[i] for r in rows]) for i in range(4))
+        uids, n, root, side = (np.array([r[i] for r in rows]) for i in range(4))
         keys = np.stack([np.frombuffer(r[5], np.int64) for r in rows])
-        fit = (root[:, None] != root) & (ids[:, None] < ids) & (np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n))
+        fit = (root[:, None] != root) & (uids[:, None] < uids) & (np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n))
         if apart:
             fit &= side[:, None] != side
         i, j = np.nonzero(fit)
         first = np.concatenate([np.empty(0, np.int64), *((keys[i[s : s + 65536]] == keys[j[s : s + 65536]]).argmax(axis=1) for s in range(0, len(i), 65536))])
-        i, j = i[keys[i, first] == k], j[keys[i, first] == k]
-        if not len(i):
-            return ids[i], ids[j]
-        both = _common([np.frombuffer(r[4], np.uint64) for r in rows])[i, j]
-        keep = both >= least * (n[i] + n[j] - both)
-        return ids[i[keep]], ids[j[keep]]
+        mine = keys[i, first] == k
+        i, j = i[mine], j[mine]
+        if len(i):
+            both = _common([np.frombuffer(r[4], np.uint64) for r in rows])[i, j]
+            keep = both >= least * (n[i] + n[j] - both)
+            i, j = i[keep], j[keep]
+        if len(i):
+            some = _forest(root[i], root[j])
+            i, j = i[some], j[some]
+        return uids[i], uids[j]
 
     def run(batches):
         at, rows = None, []
         for b in (x for batch in batches for x in blocks([batch], 4 << 20)):
             out = []
-            for k, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("k", "p", "q", "id", "n", "root", "side", "h", "keys")), strict=True):
+            for k, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("k", "p", "q", "uid", "n", "root", "side", "h", "keys")), strict=True):
                 if (k, p, q) != at:
                     if len(rows) > 1:
                         out.append(pairs(at[0], at[1] != at[2], rows))
@@ -370,40 +352,70 @@ def across(members: DataFrame, docs: DataFrame, size: int, seed: int, least: flo
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(o[x] for o in out)])) for x in (0, 1)], names=["a", "b"])
 
-    texts = written(docs.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(hashed, "id long, h binary, keys binary"), "hashes")
-    dealt = members.withColumn("m", F.ceil(F.col("c") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "id", "n", "root", "side")
-    met = dealt.join(texts, "id").repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
+    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.withColumn("m", parts).withColumn("side", F.pmod(F.xxhash64("uid"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "uid", "n", "root", "side")
+    met = dealt.join(sets, "uid").repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
     return met.mapInArrow(run, "a long, b long")
 
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, block: int = BLOCK) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of similar texts that connect the same groups as all that are proposed; docs has uid (distinct) and text.
+
+    Proposed are texts whose SimHash fingerprints lie within `radius` bits (covering LSH, see `links`), and texts that
+    share a bucket of least shingle hashes, which also meet where fingerprints lie further apart. Whole texts decide.
+    """
+    prints = written(fingerprints(docs, id_col="uid"), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    same = prints.join(nodes.filter("n > 1"), "fp").filter("uid <> least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
+    near = links(nodes.select("fp"), radius)
+    near = near.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    close = written(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same), "close")
+    keyed = written(bands(docs, size), "bands")
+    heads = written(keyed.groupBy("k").agg(F.min("uid").alias("head"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter("head <> last"), "heads")
+    shared = written(keyed.join(heads.select("k", "head", "c", "w"), "k"), "shared")
+    wanted = written(shared.select("uid").unionByName(close.select(F.col("a").alias("uid"))).unionByName(close.select(F.col("b").alias("uid"))).distinct(), "wanted")
+    sets = written(shingled(docs.join(wanted, "uid", "left_semi"), size), "sets")
+    # every member of a bucket with its first, and what the fingerprints propose
+    first = shared.filter("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")).unionByName(close).distinct()
+    edges = written(similar(first, sets, least), "links")
+    groups = components(edges).select(F.col("node").alias("uid"), "root")
+    # then what is left: pairs of a bucket that are not yet in one group; in a bucket of two the only pair was compared
+    placed = written(shared.filter("c > 2").join(groups, "uid", "left").select("k", "uid", "n", "c", "w", F.coalesce("root", "uid").alias("root")), "placed")
+    mixed = placed.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("k")
+    rest = written(across(written(placed.join(mixed, "k"), "open"), sets, least, block), "rest")
+    discard(prints, nodes, close, keyed, heads, shared, wanted, sets, placed)
+    return edges.unionByName(rest)
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, without near duplicates: of each group linked by similar texts the smallest id stays.
 
-    Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more. Texts
-    that share a bucket of least shingle hashes (see `band_keys`) are proposed, whole texts decide, and groups are the
-    components of the pairs that pass; so no text goes that has no similar one. Whether a pair shares a bucket depends on
-    its similarity alone, not on where the texts differ: at 0.8 it misses all of them with probability
-    (1 - 0.8^ROWS)^BANDS, about one in eight million, and above with less. A bucket's members are
-    verified with its first, then all its pairs that this left in different groups, so none is lost to a failed proposal
-    and members of one group cost as much as there are of them. Texts without words are alike. Ids must be distinct longs (after exact dedup they are); rows
-    with a null id always stay.
+    Two texts are near duplicates if their sets of `size`-word shingles have a Jaccard similarity of `least` or more, and
+    groups are the components of all such pairs that are proposed (see `near_duplicate_links`); so no text goes that has
+    no similar one. Whether a pair shares a bucket of least shingle hashes depends on its similarity alone, not on where
+    the texts differ: at 0.8 it misses all of them with probability (1 - 0.8^ROWS)^BANDS, about one in eight million, and
+    above with less. A bucket's members are compared with its first, then all its pairs that this left in different
+    groups, so none is lost to a failed proposal and members of one group cost as much as there are of them.
+
+    Texts without words, null ones included, are alike. Ids may be of any type, repeat or be null (a null id stays only if
+    its group has no other): rows are told apart by id and text, and of rows that repeat both one stays at most. Columns of
+    any name are kept. An empty table gives no row.
     """
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    d = flat.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    keyed = written(bands(d, size, seed), "bands")
-    heads = written(keyed.groupBy("k").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("k", "head"), "heads")
-    shared = written(keyed.join(heads, "k"), "shared")
-    # every member of a bucket with its first; texts are fetched only for pairs that were proposed
-    edges = written(similar(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), d, size, least), "links")
-    groups = written(components(edges), "groups").select(F.col("node").alias("id"), "root")
-    # then what is left: pairs of a bucket that are not yet in one group
-    placed = written(shared.join(groups, "id", "left").select("k", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
-    mixed = placed.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("c")).filter("r <> s").select("k", "c")
-    rest = written(across(written(placed.join(mixed, "k"), "open"), d, size, seed, least, block), "rest")
-    edges = edges.unionByName(similar(rest.distinct(), d, size, least))
-    named = written(components(edges), "groups")
-    drop = named.join(named.groupBy("root").agg(F.min("node").alias("stays")), "root").filter("node <> stays").select(F.col("node").alias(key))
-    return flat.join(drop, key, "left_anti").toDF(*names) if not drop.isEmpty() else docs
+    parts = [F.col(key), F.col(key).isNull(), F.col(text), F.col(text).isNull()]
+    flat = flat.withColumn("uid", F.xxhash64(*parts)).withColumn("check", F.xxhash64(F.lit(1), *parts))
+    twice = written(flat.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")).filter("n > 1"), "twice")
+    repeated = not twice.isEmpty()
+    d = flat.select("uid", F.col(key).alias("id"), F.col(text).alias("text"))
+    if repeated:  # different rows of one hash take no part; the same row takes part once
+        d = d.join(twice.filter("lo <> hi").select("uid"), "uid", "left_anti").dropDuplicates(["uid"])
+    groups = components(near_duplicate_links(d.select("uid", "text"), size, least, radius, block)).withColumnRenamed("node", "uid")
+    placed = d.select("uid", "id").join(groups, "uid").withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
+    drop = written(placed.join(placed.groupBy("root").agg(F.min("rank").alias("stays")), "root").filter("uid <> stays.uid").select("uid"), "dropped")
+    out = flat.join(drop, "uid", "left_anti")
+    if repeated:
+        out = out.dropDuplicates(["uid", "check"])
+    return out.drop("uid", "check").toDF(*names)
