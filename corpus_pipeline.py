@@ -3,36 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftlight.llm import exact_dedup, language, packing, simhash
 from weftlight.llm.common import crc_fold, tokenizer_path, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the language model finds a language; texts that are null or hold no letter go.
+    """Documents in which the language model (operator 3) finds a language; texts that are null or hold no letter go.
 
-    The model (operator 3) learns from the labelled documents outside the held-out fold; labels decide nothing else.
+    The model learns from the labelled documents outside the held-out fold; labels decide nothing else, and without any
+    every text with a letter stays. Repeated rows fare alike; further columns of any name are kept; an empty table gives
+    no row.
     """
-    model = language.fit(docs.filter(crc_fold(docs["doc_id"], 5) != 0))
-    if model is None:
-        return docs
-    found = language.predict(docs, model)
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return language.recognised(docs, language.fit(docs.filter(crc_fold(docs["doc_id"], 5) != 0)))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays (operator 9)."""
+    """Of equal texts the document with the largest id stays (operator 9).
+
+    Null and empty texts are equal; a null id stays only if its group has no other; of rows that repeat id and text one
+    stays; further columns of any name are kept; an empty table gives no row.
+    """
     return exact_dedup.distinct_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the smallest id stays (operator 8)."""
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the smallest id stays (operator 8).
+
+    Texts without words are alike; repeated and null ids, repeated rows and columns of any name are allowed; an empty table
+    gives no row.
+    """
     return simhash.without_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids from all documents left (operator 4); a row per piece."""
+    """Sequences of at most 1024 ids from all documents left (operator 4); a row per piece.
+
+    Null and empty texts are the end id alone; repeated rows are packed like any others; further columns are dropped; an
+    empty table gives no row.
+    """
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
