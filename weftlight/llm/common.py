@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +92,15 @@ _RESIDENT: list = [None, None]
 def resident(key, make: Callable[[], object] = lambda: None):
     """What one operator keeps in a Python worker between tasks; another operator's call lets go of it first.
 
-    Workers are reused, so caches of several operators would otherwise pile up in an executor's memory.
+    Workers are reused, so caches of several operators would otherwise pile up in an executor's memory; what was let go
+    of is given back to the system.
     """
     if _RESIDENT[0] != key:
         _RESIDENT[:] = [None, None]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
         _RESIDENT[:] = [key, make()]
     return _RESIDENT[1]
 
