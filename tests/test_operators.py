@@ -171,5 +171,9 @@ def test_control(spark):
     assert got == ["strong", "conflicted", "insufficient", "marginal"]
     o = spark.createDataFrame([("x", 0, []), ("", 1, []), ("x", 1, ["synthesis_degraded_a"]), ("x", 1, ["assessment_fallback"]), ("x", 1, ["other"])], "a string, n int, w array<string>")
     assert [r[0] for r in o.select(planning.outcome(F.col("a"), F.col("n"), F.col("w"))).collect()] == ["not_found", "no_answer", "answered_degraded", "answered_fallback", "answered"]
-    q = spark.createDataFrame([(1, "Assess the storage layer and explain the failure modes; list every owner")], "k int, text string")
-    assert [r["topic"] for r in planning.topics(q, "k").orderBy("topic_no").collect()] == ["Assess the storage layer", "the failure modes", "list every owner"]
+    from weftlight.operators import needs
+
+    top = lambda text: one(spark, needs.topics, text)
+    assert top("Assess the storage layer and explain the failure modes; list every owner") == ["assess storage layer", "failure modes", "list every owner"]
+    assert top("How do Atlas costs and Beacon margins move") == ["How do Atlas costs", "Beacon margins move"] and top("Is it so?") == [""]
+    assert one(spark, needs.entities, "Does PetroX supply Acme Corp? Acme Corp says PetroX and The Mill do.") == ["PetroX", "Acme Corp", "The Mill"]

@@ -45,11 +45,3 @@ def typed_conflicts(claims: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*[F.when(x, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, x in checks]), lambda x: x.isNotNull())
     return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.inline(found))
-
-
-def evidence_conflicts(chunks: DataFrame, question: str, item: str, doc: str) -> DataFrame:
-    """Pairs i < j of one question's evidence (k rows at most) from different documents: one side negates, topics agree."""
-    c = chunks.select(question, F.col(item).alias("i"), F.col(doc).alias("d"), X.terms(F.col("text"), 4, X.RELEVANCE_STOP).alias("t"), X.has_negation(F.col("text")).alias("neg"), F.array_distinct(X.proper_nouns(F.col("text"))).alias("e"))
-    a, b = c.toDF(question, "a", "da", "ta", "na", "ea"), c.toDF(question, "b", "db", "tb", "nb", "eb")
-    p = a.join(b, question).filter((F.col("a") < F.col("b")) & (F.col("da") != F.col("db")) & (F.col("na") != F.col("nb")))
-    return p.filter((F.size(F.array_intersect("ta", "tb")) >= 3) & F.arrays_overlap("ea", "eb")).select(question, "a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared_terms"), F.lit(1.0).alias("severity"))

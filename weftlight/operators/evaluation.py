@@ -90,3 +90,69 @@ def dispersion(scores: DataFrame, group: str, score: str) -> DataFrame:
 def confidence(coverage: Column, agreement: Column, contradictions: Column) -> Column:
     """conflicted, high, medium or low."""
     return F.when(contradictions > 0, "conflicted").when((coverage >= 0.8) & (agreement >= 0.7), "high").when(coverage >= 0.5, "medium").otherwise("low")
+
+
+def _mean(c: str, digits: int) -> Column:
+    return F.round(F.avg(c), digits).alias(c)
+
+
+def item_scores(items: DataFrame, key: str) -> DataFrame:
+    """The scores of answered benchmark items; null where a score does not apply.
+
+    items: answer, cited (ids in citation order), gold (ids), expects_contradiction, detected, gold_years (strings),
+    adversarial, distractors (ids), metadata (map of strings).
+    """
+    refs = F.transform(F.regexp_extract_all("answer", F.lit(r"\[\s*(\d+)\s*\]"), 1), lambda x: x.cast("int"))
+    resolved = F.transform(F.filter(refs, lambda r: (r >= 1) & (r <= F.size("cited"))), lambda r: F.element_at("cited", r))
+    gold = lambda x: F.size(F.filter(x, lambda c: F.array_contains("gold", c)))
+    share = lambda x: F.when(F.size(x) == 0, 0.0).otherwise(gold(x) / F.size(x))
+    known = lambda k: F.col("metadata")[k].try_cast("double")
+    return items.select(
+        key, share(resolved).alias("citation_correctness"), share(F.col("cited")).alias("evidence_precision"), F.when(F.size("gold") > 0, gold(F.col("cited")) / F.size("gold")).alias("recall"),
+        F.when(F.col("expects_contradiction"), F.col("detected").cast("int").cast("double")).alias("contradiction_recall"),
+        F.when(F.size("gold_years") > 0, F.exists("gold_years", lambda y: F.contains("answer", y)).cast("int").cast("double")).alias("temporal_accuracy"),
+        F.when(F.col("adversarial"), (~F.arrays_overlap("cited", "distractors")).cast("int").cast("double")).alias("adversarial_robustness"),
+        known("vault_personalization_gain").alias("vault_personalization_gain"), known("reindex_duration_ms").alias("reindex_cost"), known("write_back_usefulness").alias("write_back_usefulness"),
+    )
+
+
+def applicable_means(scores: DataFrame, of: list[str], names: list[str], digits: int = 6) -> DataFrame:
+    """(of, metric, value, applicable): the mean of each score over the rows that it applies to, and how many they are."""
+    long = scores.unpivot(of, names, "metric", "v")
+    return long.groupBy(*of, "metric").agg(F.round(F.avg("v"), digits).alias("value"), F.count("v").alias("applicable"))
+
+
+def variant_deltas(values: DataFrame, reference: str, digits: int = 4) -> DataFrame:
+    """(variant, metric, delta) against the reference variant's value; null if either has none."""
+    r = values.filter(F.col("variant") == reference).select("metric", F.col("value").alias("_r"))
+    known = lambda c: F.when(~F.isnan(c), c)
+    return values.join(r, "metric").select("variant", "metric", F.round(known(F.col("value")) - known(F.col("_r")), digits).alias("delta"))
+
+
+def retrieval_report(cases: DataFrame, of: str, digits: int = 4) -> DataFrame:
+    """Per class and over all (class null): means of what applies, and precision, recall and abstention from counts.
+
+    cases: recall, precision, coverage (null if they do not apply), signals, conflict_expected, absent_trigger, absent_expected.
+    """
+    fired = F.col("signals") > 0
+    tp, fp, fn = (F.count_if(c) for c in (F.col("conflict_expected") & fired, ~F.col("conflict_expected") & fired, F.col("conflict_expected") & ~fired))
+    ratio = lambda a, b: F.round(F.when(b > 0, a / b), digits)
+    return cases.rollup(of).agg(
+        F.count(F.lit(1)).alias("n"), _mean("recall", digits), _mean("precision", digits), _mean("coverage", digits), ratio(tp, tp + fp).alias("contradiction_precision"), ratio(tp, tp + fn).alias("contradiction_recall"),
+        ratio(F.count_if(F.col("absent_expected") & F.col("absent_trigger")), F.count_if("absent_expected")).alias("abstention"), F.grouping(of).cast("int").alias("is_total"),
+    )
+
+
+def grounded_sentences(answers: DataFrame, evidence: DataFrame, key: str, position: str, text_col: str = "answer") -> DataFrame:
+    """(key, sentences, grounded, rate): sentences that cite a gold text or share half their tokens with a cited gold text.
+
+    evidence: key, position (from 1), text, gold (boolean).
+    """
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
+    g = evidence.filter("gold").groupBy(key).agg(F.collect_set(position).alias("_p"), F.collect_list(tokens(F.col("text"))).alias("_t"))
+    s = answers.select(key, F.explode(F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")).alias("s")).join(g, key, "left")
+    refs = F.transform(F.regexp_extract_all("s", F.lit(r"\[\s*(\d+)\s*\]"), 1), lambda x: x.cast("int"))
+    mine = tokens(F.col("s"))
+    alike = F.exists("_t", lambda t: F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, t)) / F.size(mine) >= 0.5).otherwise(False))
+    ok = F.coalesce(F.arrays_overlap(refs, F.col("_p")), F.lit(False)) | F.coalesce(alike, F.lit(False))
+    return s.groupBy(key).agg(F.count(F.lit(1)).alias("sentences"), F.count_if(ok).alias("grounded")).withColumn("rate", F.col("grounded") / F.col("sentences"))

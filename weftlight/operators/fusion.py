@@ -72,3 +72,13 @@ def merge_evidence(hits: DataFrame, keys: list[str]) -> DataFrame:
 def merge_needs(hits: DataFrame, need: str, item: str) -> DataFrame:
     """(item, owner, score, shared): the first need that finds an item owns it; later finds lift its score."""
     return hits.groupBy(item).agg(F.min(need).alias("owner"), F.max("score").alias("score"), (F.countDistinct(need) > 1).alias("shared"))
+
+
+def fuse_by_pattern(frame: DataFrame, patterns: DataFrame, table: DataFrame, question: str, item: str, k: int, digits: int = 8) -> DataFrame:
+    """(question, item, pattern, fused, rank): max fusion with the weights (pattern, w_b, w_v) of each question's pattern, half each where it has none."""
+    b = F.coalesce("bm25", F.lit(0.0))
+    top = F.max(b).over(Window.partitionBy(question))
+    j = frame.join(patterns, question).join(F.broadcast(table), "pattern", "left")
+    s = F.coalesce("w_b", F.lit(0.5)) * F.when(top > 0, b / top).otherwise(0.0) + F.coalesce("w_v", F.lit(0.5)) * F.coalesce("cosine", F.lit(0.0))
+    r = j.select(question, item, "pattern", F.round(s, digits).alias("fused"))
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy(question).orderBy(F.col("fused").desc(), item))).filter(F.col("rank") <= k)

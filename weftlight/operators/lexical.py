@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlight.functions import text as X
 
+#: Questions, and weights of (term, question) pairs, that are broadcast at most; beyond them postings are joined by a shuffle.
+MOST_QUESTIONS, MOST_WEIGHTS = 2048, 1 << 24
+#: Items that are scored at once.
+ITEM_BLOCK = 256
+
 
 def postings(items: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, term, tf): one row per distinct token of an item; counts are combined before the shuffle."""
@@ -29,7 +37,8 @@ def idf(post: DataFrame, n: DataFrame) -> DataFrame:
 def bm25_scores(items: DataFrame, keys: list[str], questions: DataFrame, question_col: str, text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(question, keys, score) of every item that shares a term with a question; repeated question terms count each time.
 
-    Question terms reduce the postings by a semi-join before anything is scored; one-row statistics are broadcast.
+    Postings are aggregated over the whole corpus and joined with the questions' terms; one-row statistics are broadcast.
+    For the best k of few questions bm25_top_k() needs neither that shuffle nor the rows of items that lose.
     """
     tok = items.select(*keys, X.tokens(F.col(text_col)).alias("_w"))
     dl = tok.select(*keys, F.size("_w").alias("dl"))
@@ -43,6 +52,98 @@ def bm25_scores(items: DataFrame, keys: list[str], questions: DataFrame, questio
     return hit.groupBy(question_col, *keys).agg(F.sum(part).alias("score"))
 
 
+def bm25_top_k(items: DataFrame, keys: list[str], questions: DataFrame, question_col: str, k: int, text_col: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """(question, keys, score, rank): the k best items of each question, as top_k(bm25_scores(...)).
+
+    One pass sums document frequencies (map-side first) and gives the driver the weights of the questions' terms alone. A
+    second scores items inside their task against all questions and keeps k rows a task and question, so no posting and
+    no losing row is shuffled. More than MOST_QUESTIONS questions, or more than MOST_WEIGHTS (term, question) weights, go
+    by the postings instead. Items without text score nothing.
+    """
+    spark = items.sparkSession
+    q = questions.select(F.col(question_col), F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(question_col, "term").agg(F.count(F.lit(1)).alias("qf"))
+    size = q.agg(F.countDistinct(question_col).alias("q"), F.countDistinct("term").alias("t")).collect()[0]
+    if size["q"] > MOST_QUESTIONS or size["q"] * size["t"] > MOST_WEIGHTS:
+        return top_k(bm25_scores(items, keys, questions, question_col, text_col, k1, b), [question_col], k, keys, digits=digits)
+    tok = items.select(*keys, X.tokens(F.col(text_col)).alias("_w"))
+    stats = tok.agg(F.count("_w").alias("n"), F.avg(F.size("_w")).alias("avgdl")).collect()[0]
+    asked = q.collect()
+    schema = f"{question_col} {questions.schema[question_col].dataType.simpleString()}, " + ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in keys) + ", score double"
+    if not asked or not stats["n"]:
+        return top_k(spark.createDataFrame([], schema), [question_col], k, keys, digits=digits)
+    wanted = sorted({r["term"] for r in asked})
+    flagged = F.broadcast(spark.createDataFrame([(w, True) for w in wanted], "term string, _wanted boolean"))
+    df = tok.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    got = df.withColumn("raw", raw).join(flagged, "term", "left").agg((F.avg("raw") * 0.25).alias("floor"), F.collect_list(F.when(F.col("_wanted"), F.struct("term", "raw"))).alias("w")).collect()[0]
+    idf_of = {r["term"]: r["raw"] if r["raw"] >= 0 else got["floor"] for r in got["w"]}
+    terms = sorted(idf_of)
+    place = {w: i for i, w in enumerate(terms)}
+    ids = sorted({r[question_col] for r in asked})
+    number = {x: i for i, x in enumerate(ids)}
+    weights = np.zeros((len(terms), len(ids)))
+    for r in asked:
+        if r["term"] in place:
+            weights[place[r["term"]], number[r[question_col]]] = r["qf"] * idf_of[r["term"]]
+    shared = spark.sparkContext.broadcast((terms, weights, ids))
+    avgdl, slack = stats["avgdl"], 2.0 * 10.0**-digits
+    names = [question_col, *keys, "score"]
+
+    def run(batches):
+        listed, w, asks = shared.value
+        value_set = pa.array(listed, pa.string())
+        kept_score, kept_row, tables, base = np.empty((len(asks), 0)), np.empty((len(asks), 0), np.int64), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_w")
+            lists = lists.cast(pa.list_(pa.string()))
+            at = pc.index_in(lists.flatten(), value_set=value_set).fill_null(-1).to_numpy()
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+            tables.append(batch.select(keys))
+            for i in range(0, batch.num_rows, ITEM_BLOCK):
+                rows = min(ITEM_BLOCK, batch.num_rows - i)
+                part = at[ends[i] : ends[i + rows]]
+                sizes = np.diff(ends[i : i + rows + 1])
+                owner = np.repeat(np.arange(rows), sizes)
+                tf = np.bincount(owner[part >= 0] * len(listed) + part[part >= 0], minlength=rows * len(listed)).reshape(rows, len(listed)).astype(float)
+                s = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * sizes / avgdl))[:, None])) @ w
+                both = np.concatenate([kept_score, s.T], axis=1)
+                where = np.concatenate([kept_row, np.broadcast_to(base + i + np.arange(rows), (len(asks), rows))], axis=1)
+                if both.shape[1] > 4 * k + ITEM_BLOCK:
+                    keep = _best(both, k, slack)
+                    kept_score, kept_row = np.take_along_axis(both, keep, 1), np.take_along_axis(where, keep, 1)
+                    kept_score[np.arange(keep.shape[1])[None] >= _wide(both, k, slack)[:, None]] = -np.inf
+                else:
+                    kept_score, kept_row = both, where
+            base += batch.num_rows
+        if not tables:
+            return
+        q_no, col = np.nonzero((kept_score > 0) & (kept_score >= _cutoff(kept_score, k)[:, None] - slack))
+        rows = pa.Table.from_batches(tables).take(pa.array(kept_row[q_no, col]))
+        of = pa.array(asks).take(pa.array(q_no))
+        out = pa.table([of, *rows.columns, pa.array(kept_score[q_no, col])], names=names)
+        yield from out.combine_chunks().to_batches()
+
+    return top_k(tok.mapInArrow(run, schema), [question_col], k, keys, digits=digits)
+
+
+def _cutoff(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row (the smallest if there are fewer)."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if n > k else scores.min(axis=1, initial=0.0)
+
+
+def _wide(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """How many of each row reach its k-th largest, less the slack within which rounding may tie."""
+    return (scores >= _cutoff(scores, k)[:, None] - slack).sum(axis=1)
+
+
+def _best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Columns of each row in falling order, as many as the widest row needs."""
+    return np.argsort(-scores, axis=1, kind="stable")[:, : max(k, int(_wide(scores, k, slack).max()))]
+
+
 def sparse_dot(items: DataFrame, keys: list[str], questions: DataFrame, question_col: str, text_col: str = "text") -> DataFrame:
     """(question, keys, score): dot product of token-frequency vectors."""
     q = questions.select(F.col(question_col), F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(question_col, "term").agg(F.count(F.lit(1)).alias("qw"))

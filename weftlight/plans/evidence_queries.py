@@ -161,11 +161,6 @@ def _(t):
     return planning.retrieval_mix(c, "k").select("k.conv_id", "k.turn", "pattern", "method", "weight", "per_method", "top_k")
 
 
-@query("plan_needs_multi_hop")
-def _(t):
-    return planning.entity_pairs(t.benchmark, "item_id")
-
-
 NEED = f"""{BM25}, top AS (SELECT item_id, count(*) AS found, max(score) AS best, count(DISTINCT source) AS sources FROM lex JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY 1), st AS (SELECT b.item_id, coalesce(found, 0) AS found, coalesce(best, 0) AS best, coalesce(sources, 0) AS sources FROM benchmark b LEFT JOIN top USING (item_id))"""
 
 
@@ -179,11 +174,6 @@ def _(t):
     return planning.need_coverage(t.benchmark.select("item_id"), lexical_hits(t).filter("rank <= 3"), ["item_id"])
 
 
-@query("gap_detection", f"WITH {NEED} SELECT item_id, 'missing_evidence' AS gap, 0.9::DOUBLE AS priority FROM st WHERE found = 0 UNION ALL SELECT item_id, 'weak_evidence', 0.7::DOUBLE FROM st WHERE found > 0 AND best < 0.3 UNION ALL SELECT item_id, 'single_source', 0.6::DOUBLE FROM st WHERE found > 0 AND sources < 2")
-def _(t):
-    return planning.gaps(need_state(t), "item_id")
-
-
 SUFF = f"""{NEED}, t3 AS (SELECT item_id, avg(score) AS top3 FROM lex WHERE rank <= 3 GROUP BY 1), v AS (SELECT st.*, coalesce(top3, 0) / 100 AS top3, least(1.0, found / 8) AS cov FROM st LEFT JOIN t3 USING (item_id)),
   p AS (SELECT *, CASE WHEN found >= 5 THEN 3 WHEN found >= 2 THEN 2 WHEN found >= 1 THEN 1 ELSE 0 END + CASE WHEN cov >= 1 THEN 3 WHEN cov >= 0.8 THEN 2 WHEN cov > 0 THEN 1 ELSE 0 END + CASE WHEN sources >= 3 THEN 3 WHEN sources >= 2 THEN 2 WHEN sources >= 1 THEN 1 ELSE 0 END + CASE WHEN top3 >= 0.7 THEN 3 WHEN top3 >= 0.5 THEN 2 WHEN top3 > 0 THEN 1 ELSE 0 END AS points FROM v),
   lv AS (SELECT item_id, CASE WHEN NOT (cov >= 0.3 OR found >= 2) THEN 'insufficient' WHEN points >= 10 THEN 'strong' WHEN points >= 7 THEN 'sufficient' WHEN points >= 4 THEN 'marginal' ELSE 'insufficient' END AS level FROM p)"""
@@ -215,11 +205,6 @@ def _(t):
     return s.select("item_id", planning.decision(s).alias("decision"))
 
 
-@query("decompose_topics")
-def _(t):
-    return planning.topics(t.conversations.withColumn("k", F.struct("conv_id", "turn")), "k").select("k.conv_id", "k.turn", "topic_no", "topic")
-
-
 @query("verification_gate", f"WITH {BM25}, g AS (SELECT item_id, count(*) AS n, max(score) / 100 AS best, CASE WHEN count(*) >= 3 THEN stddev_samp(score) / avg(score) END AS cv FROM lex GROUP BY 1) SELECT b.item_id, coalesce(n, 0) > 0 AND NOT coalesce(best < 0.8, false) AND NOT coalesce(cv > 0.3, false) AS skip FROM benchmark b LEFT JOIN g USING (item_id)")
 def _(t):
     g = lexical_hits(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), (F.max("score") / 100).alias("best"), F.when(F.count(F.lit(1)) >= 3, F.stddev_samp("score") / F.avg("score")).alias("cv"))
@@ -265,11 +250,6 @@ def _(t):
     return claims.typed_conflicts(c)
 
 
-@query("evidence_conflicts")
-def _(t):
-    return claims.evidence_conflicts(lexical_hits(t).join(t.documents.select("doc_id", "text"), "doc_id").withColumn("d", F.col("doc_id")), "item_id", "doc_id", "d")
-
-
 @query("score_dispersion", f"WITH {BM25} SELECT item_id, count(score) AS n, round(stddev_samp(score) / avg(score), 6) AS cv FROM lex GROUP BY 1 HAVING count(score) >= 3")
 def _(t):
     return evaluation.dispersion(lexical_hits(t), "item_id", "score").withColumn("cv", F.round("cv", 6))
@@ -326,11 +306,6 @@ def _(t):
     return extraction.relations(t.documents)
 
 
-@query("metric_values")
-def _(t):
-    return extraction.metric_values(t.documents, ["doc_id"])
-
-
 @query("entity_normalisation", r"""WITH n AS (SELECT c_name AS name, trim(regexp_replace(trim(c_name), '(?i)^(the|a|an)\s+|\s+(inc|corp|co|ltd|llc)\.?$', '', 'g')) AS n FROM customer), c AS (SELECT name, n, trim(regexp_replace(n, '(?i) (?:database|db|engine|system|platform|line|project|feature|tool|api|inc|corp|co|ltd|llc)$', '')) AS cut FROM n)
   SELECT name, array_to_string(list_transform(list_filter(string_split_regex(CASE WHEN length(cut) >= 2 THEN cut ELSE n END, '\s+'), lambda w: w <> ''), lambda w: CASE WHEN lower(w) = w THEN upper(w[1]) || lower(w[2:]) ELSE w END), ' ') AS entity FROM c""")
 def _(t):
@@ -355,11 +330,6 @@ def _(t):
     return extraction.similar_names(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).select("a", "b")
 
 
-@query("predicate_groups", "SELECT event_id, CASE event_type WHEN 'view' THEN 'view' ELSE lower(trim(event_type)) END AS predicate FROM events")
-def _(t):
-    return t.events.select("event_id", extraction.predicate_group(F.col("event_type")).alias("predicate"))
-
-
 @query("metadata_filter", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
 def _(t):
     k = F.get_json_object("props", "$.k")

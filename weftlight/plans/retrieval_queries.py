@@ -69,7 +69,16 @@ def _(t):
 
 
 POST = f"post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
-IDF = "raw AS (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1)), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+IDF = "n AS (SELECT count(*) AS n_items FROM documents), raw AS MATERIALIZED (SELECT term, df, ln((n_items - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1) d, n), low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM raw, low)"
+
+
+def bm25_sql(items, item, asks, ask, k):
+    """CTE lex{k}: the k best items (item, text) of every question (ask, text), with score and rank."""
+    return f"""po AS (SELECT {item}, term, count(*) AS tf FROM (SELECT {item}, unnest({TOK.format('text')}) AS term FROM {items}) GROUP BY 1, 2), pn AS (SELECT count(*) AS n_items FROM {items}),
+  pr AS MATERIALIZED (SELECT term, ln((n_items - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM po GROUP BY 1) d, pn), pm AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM pr), pi AS (SELECT term, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM pr, pm),
+  pd AS (SELECT {item}, len({TOK.format('text')}) AS dl FROM {items}), pa_ AS (SELECT avg(dl) AS avgdl FROM pd), pq AS (SELECT {ask}, term, count(*) AS qf FROM (SELECT {ask}, unnest({TOK.format('text')}) AS term FROM {asks}) GROUP BY 1, 2),
+  pb AS (SELECT {ask}, po.{item}, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM pq JOIN pi USING (term) JOIN po USING (term) JOIN pd ON pd.{item} = po.{item}, pa_ GROUP BY 1, 2),
+  lex{k} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {ask} ORDER BY score DESC, {item}) AS INTEGER) AS rank FROM pb) WHERE rank <= {k} AND score > 0)"""
 
 
 @query("postings_build", f"WITH {POST} SELECT doc_id, term, tf FROM post")
@@ -100,7 +109,7 @@ BM25 = f"""{POST}, {IDF}, dl AS (SELECT doc_id, len({TOK.format('text')}) AS dl
 
 
 def lexical_hits(t, k=20):
-    return lexical.top_k(lexical.bm25_scores(t.documents, ["doc_id"], questions(t), "item_id"), ["item_id"], k, ["doc_id"])
+    return lexical.bm25_top_k(t.documents, ["doc_id"], questions(t), "item_id", k)
 
 
 @query("bm25_batch_questions", f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM lex")
@@ -115,8 +124,7 @@ def _(t):
   bm AS (SELECT item_id, p.doc_id, p.ordinal, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN post p USING (term) JOIN dl USING (doc_id, ordinal), stats GROUP BY 1, 2, 3)
   SELECT item_id, doc_id, ordinal, score, CAST(rank AS INTEGER) AS rank, d.source, d.lang FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM bm) JOIN documents d USING (doc_id) WHERE rank <= 10 AND score > 0""")
 def bm25_chunks(t):
-    s = lexical.bm25_scores(chunking.windows(t.documents), ["doc_id", "ordinal"], questions(t), "item_id")
-    hits = lexical.top_k(s, ["item_id"], 10, ["doc_id", "ordinal"])
+    hits = lexical.bm25_top_k(chunking.windows(t.documents), ["doc_id", "ordinal"], questions(t), "item_id", 10)
     return hits.join(t.documents.select("doc_id", "source", "lang"), "doc_id")
 
 
