@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def write_whole(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write to a staging folder beside `path` and put it in place when all tasks are done; readers never see a part."""
+    """Write to a staging folder beside `path` and put it in place when all tasks are done; readers never see a part.
+
+    A table that is there is moved aside first and deleted last: a failure between leaves it whole, under `path` again or, if
+    the driver itself is lost, under `path`.before-… .
+    """
     spark = df.sparkSession
     stage = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     w = df.write.format(fmt)
@@ -18,10 +22,16 @@ def write_whole(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     jvm = spark.sparkContext._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before-{uuid.uuid4().hex}")
+    there = fs.exists(dst)
+    if there and not fs.rename(dst, old):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(src, dst):
+        if there:
+            fs.rename(old, dst)
         raise OSError(f"{stage} could not be moved to {path}")
+    if there:
+        fs.delete(old, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:
