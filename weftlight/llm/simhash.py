@@ -35,8 +35,12 @@ def shingle_hashes(tokens: list[bytes], size: int, seed: int) -> np.ndarray:
 
 
 def simhash(tokens: list[bytes], size: int = 4, seed: int = 42) -> bytes:
-    """Eight bytes: a bit is one if it is set in over half the hashes; all zero without words."""
-    h = shingle_hashes(tokens, size, seed)
+    """The fingerprint of the shingles' hashes, repeats included; all zero without words."""
+    return majority(shingle_hashes(tokens, size, seed))
+
+
+def majority(h: np.ndarray) -> bytes:
+    """Eight bytes: a bit is one if it is set in over half the 64-bit hashes; all zero without any."""
     n = len(h)
     if not n:
         return bytes(8)
@@ -225,18 +229,19 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return (k ^ k >> np.uint64(29)).view(np.int64)
 
 
-def bands(docs: DataFrame, size: int) -> DataFrame:
-    """(uid, n, k): BANDS keys of every row (uid, text), with the number of different shingles."""
+def profiles(docs: DataFrame, size: int) -> DataFrame:
+    """(uid, n, fp, keys) of every row (uid, text): number and SimHash of its different shingles, and its BANDS keys."""
 
     def run(batches):
         codes = word_hashes()
         for b in blocks(batches, 8 << 20):
             sets = [shingle_codes(t, size, codes) for t in texts_of(b)]
-            n = np.array([len(h) for h in sets], np.int32)
-            k = np.concatenate([band_keys(h) for h in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("uid").to_numpy(), BANDS)), pa.array(np.repeat(n, BANDS)), pa.array(k)], names=["uid", "n", "k"])
+            fps = np.frombuffer(b"".join([majority(h) for h in sets]), np.int64)
+            keys = pa.array(np.concatenate([band_keys(h) for h in sets]))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([len(h) for h in sets], pa.int32()), pa.array(fps), keys], names=["uid", "n", "fp", "keys"])
 
-    return docs.mapInArrow(run, "uid long, n int, k long")
+    return docs.mapInArrow(run, "uid long, n int, fp long, keys array<long>")
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
@@ -363,15 +368,16 @@ def near_duplicate_links(docs: DataFrame, size: int = 5, least: float = 0.8, rad
     """(a, b): pairs of similar texts that connect the same groups as all that are proposed; docs has uid (distinct) and text.
 
     Proposed are texts whose SimHash fingerprints lie within `radius` bits (covering LSH, see `links`), and texts that
-    share a bucket of least shingle hashes, which also meet where fingerprints lie further apart. Whole texts decide.
+    share a bucket of least shingle hashes, which also meet where fingerprints lie further apart. Both come from one
+    reading of the texts and from the shingles that are compared. Whole texts decide.
     """
-    prints = written(fingerprints(docs, id_col="uid"), "prints")
+    prints = written(profiles(docs, size), "profiles")
     nodes = written(prints.groupBy("fp").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    same = prints.join(nodes.filter("n > 1"), "fp").filter("uid <> least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
+    same = prints.select("uid", "fp").join(nodes.filter("n > 1"), "fp").filter("uid <> least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
     near = links(nodes.select("fp"), radius)
     near = near.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     close = written(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same), "close")
-    keyed = written(bands(docs, size), "bands")
+    keyed = prints.select("uid", "n", F.explode("keys").alias("k"))
     heads = written(keyed.groupBy("k").agg(F.min("uid").alias("head"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter("head <> last"), "heads")
     shared = written(keyed.join(heads.select("k", "head", "c", "w"), "k"), "shared")
     wanted = written(shared.select("uid").unionByName(close.select(F.col("a").alias("uid"))).unionByName(close.select(F.col("b").alias("uid"))).distinct(), "wanted")
@@ -384,7 +390,7 @@ def near_duplicate_links(docs: DataFrame, size: int = 5, least: float = 0.8, rad
     placed = written(shared.filter("c > 2").join(groups, "uid", "left").select("k", "uid", "n", "c", "w", F.coalesce("root", "uid").alias("root")), "placed")
     mixed = placed.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("k")
     rest = written(across(written(placed.join(mixed, "k"), "open"), sets, least, block), "rest")
-    discard(prints, nodes, close, keyed, heads, shared, wanted, sets, placed)
+    discard(prints, nodes, close, heads, shared, wanted, sets, placed)
     return edges.unionByName(rest)
 
 
