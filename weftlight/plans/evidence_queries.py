@@ -325,7 +325,7 @@ def _(t):
     return extraction.linked_entities(t.documents, names, "doc_id").withColumnRenamed("id", "word")
 
 
-@query("similar_names", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON lower(substring(p_name, 1, 2)) = lower(substring(s_name, 1, 2)) AND 1 - levenshtein(lower(p_name), lower(s_name)) / greatest(length(p_name), length(s_name)) >= 0.8")
+@query("similar_names", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON 1 - levenshtein(lower(p_name), lower(s_name)) / greatest(length(p_name), length(s_name), 1) >= 0.8")
 def _(t):
     return extraction.similar_names(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).select("a", "b")
 
