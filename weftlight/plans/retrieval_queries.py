@@ -69,7 +69,7 @@ def _(t):
 
 
 POST = f"post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
-IDF = "n AS (SELECT count(*) AS n_items FROM documents), raw AS MATERIALIZED (SELECT term, df, ln((n_items - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1) d, n), low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM raw, low)"
+IDF = "corpus AS (SELECT count(*) AS n_items FROM documents), raw AS MATERIALIZED (SELECT term, df, ln((n_items - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1) d, corpus), low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM raw, low)"
 
 
 def bm25_sql(items, item, asks, ask, k):
