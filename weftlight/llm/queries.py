@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over whole tables with production parameters, and their SQL."""
+"""The queries op1 to op13 and the pipeline, each over whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -72,6 +72,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -83,8 +89,33 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_top_k": op10_top_k,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
+    # every order is walked step by step: rows that fail none of the filters before
+    "op11_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+             f AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+                          + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
+                          + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+                          + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask FROM w),
+             l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+             m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (l.good) AS good, count(*) FILTER (l.toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+             c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+             p AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] AS bits
+                   FROM c a, c b, c d, c e, c g WHERE a.bit + b.bit + d.bit + e.bit + g.bit = 31 AND len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+             s AS (SELECT filter_order, CAST(step AS INT) AS step, CAST(bits[step] AS INT) AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM p, range(1, 6) r(step)),
+             t AS (SELECT part, filter_order, step, own,
+                          coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+                          coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS removed,
+                          coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS redundant,
+                          coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+                          coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS good_lost,
+                          coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM t
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
