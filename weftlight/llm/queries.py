@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     # every order is walked step by step: rows that fail none of the filters before
     "op11_filter_audit": r"""
         WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
-                          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+                          [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
              f AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
                           + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
                           + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
