@@ -78,6 +78,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -90,6 +96,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_top_k": op10_top_k,
     "op11_filter_audit": op11_filter_audit,
+    "op13_phrases": op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
     # every order is walked step by step: rows that fail none of the filters before
@@ -131,4 +138,24 @@ ORACLE_SQL: dict[str, str] = {
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    # every run of one to four words is counted as a string
+    "op13_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             p AS (SELECT row_number() OVER () AS p, lang, string_split_regex(piece, '[ \t]+') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+             t AS (SELECT p, lang, word, i FROM (SELECT p, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM p) WHERE word <> ''),
+             n AS (SELECT lang, count(*) AS n FROM t GROUP BY 1),
+             r AS (SELECT lang, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY p ORDER BY i)),
+             g AS (SELECT lang, 1 AS k, word AS g FROM r UNION ALL SELECT lang, 2, word || ' ' || w2 FROM r WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, word || ' ' || w2 || ' ' || w3 FROM r WHERE w3 IS NOT NULL
+                   UNION ALL SELECT lang, 4, word || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM r WHERE w4 IS NOT NULL),
+             f AS MATERIALIZED (SELECT lang, k, g, string_split(g, ' ') AS w, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+             h AS (SELECT lang, g, f, k, CAST(j AS INT) AS j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS rest FROM f, range(1, 4) s(j) WHERE k > j),
+             c AS (SELECT h.lang, h.k, h.g, h.f AS a, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * h.f // (x.f + y.f) AS BIGINT) AS score, j
+                   FROM h JOIN f x ON x.lang = h.lang AND x.g = h.head JOIN f y ON y.lang = h.lang AND y.g = h.rest),
+             b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS o FROM c) WHERE o = 1),
+             s AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, f FROM f, range(2, 4) t(m), range(1, 4) u(i) WHERE k > m AND i + m - 1 <= k),
+             x AS (SELECT lang, g, max(f) AS longer FROM s GROUP BY 1, 2),
+             k AS (SELECT b.lang, b.g AS phrase, a, l, r, score FROM b LEFT JOIN x ON x.lang = b.lang AND x.g = b.g WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
