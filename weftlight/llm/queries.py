@@ -78,6 +78,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlight.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlight.llm.phrases import collocations
 
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_top_k": op10_top_k,
     "op11_filter_audit": op11_filter_audit,
+    "op12_quality": op12_quality,
     "op13_phrases": op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
