@@ -68,3 +68,12 @@ def test_letters_that_grow_in_lower_case_lose_no_text():
         body = "<p>This is a paragraph of the text, with a comma and a stop.</p>" * n
         plain, odd = X.main_text([page.format("Istanbul", body), page.format("İİİstanbul", body)], trees)
         assert "It ends here." in plain and odd == plain.replace("Istanbul", "İİİstanbul")
+
+
+def test_pages_of_one_paragraph_are_whole():
+    text = "This is a sentence of a paragraph, with a comma, which goes on for a while and then it stops. Another one follows."
+    comments = '<section class="comments"><div class="comment">I do not agree with this at all, really.</div></section>'
+    cases = ["<p>{}</p>", "<div class=content><p>{}</p></div>", "<body><div class=wrap><div class=entry><p>{}", "<div>{}</div>", "{}", comments + "<div class=entry><p>{}</p></div>", comments + "<p>{}</p>", "<nav><ul><li><a href=x>Home</a></li></ul></nav><p>{}</p><footer>&copy; Site</footer>"]
+    assert X.main_text([c.format(text) for c in cases], X.model()) == [text] * len(cases)
+    alone = [comments, "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>", "<footer>&copy; 2024 Site</footer>", "<div class=cookie-notice><p>We use cookies to improve your stay here.</p></div>"]
+    assert X.main_text(alone, X.model()) == [""] * len(alone)

@@ -267,6 +267,10 @@ def decode(parent: list[int], logit: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Share of the made-up pages that have few blocks and little around them.
+BARE_PAGES = 0.15
+
+
 # ---- made-up training pages ------------------------------------------------------------------------------------------
 
 
@@ -343,8 +347,21 @@ class _Maker:
                 out.append(self.boiler())
         return "".join(out)
 
+    def bare(self) -> str:
+        """A page of few blocks with little or nothing around them, in plain or wrapped in elements of any name."""
+        r = self.r
+        n = r.choice([1, 1, 1, 2, 3])
+        body = "".join(f"<p data-m>{self.words(r.choice([r.randint(4, 15), r.randint(10, 60), r.randint(40, 160)]))}</p>" for _ in range(n))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            names = ("content", "wrap", "wrapper", "entry", "text", "container", "post", "page", "inner", self.words(1, False))
+            body = f"<{(t := r.choice(['div', 'div', 'div', 'section', 'main', 'article']))} data-m{self.attr(*names, chance=0.7)}>{body}</{t}>"
+        before, after = (self.boiler() if r.random() < 0.2 else "" for _ in range(2))
+        return f"<html><head><title>x</title></head><body>{before}{body}{after}</body></html>"
+
     def page(self) -> str:
         r = self.r
+        if r.random() < BARE_PAGES:
+            return self.bare()
         style = r.random()
         if style < 0.5:
             body = f"<article data-m{self.attr('post', 'article', 'entry', chance=0.3)}>{self.article()}</article>"
