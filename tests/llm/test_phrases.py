@@ -42,9 +42,11 @@ def made(seed, n):
     return rows + rows[:40]
 
 
-@pytest.mark.parametrize(("least", "longest", "top"), [(30, 4, 2000), (3, 4, 7), (2, 6, 40), (5, 2, 2000)])
-def test_equals_brute_force(spark, monkeypatch, least, longest, top):
+@pytest.mark.parametrize(("least", "longest", "top", "hot"), [(30, 4, 2000, 0), (3, 4, 7, 20), (2, 6, 40, 0), (5, 3, 2000, 1)])
+def test_equals_brute_force(spark, monkeypatch, least, longest, top, hot):
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    if hot:
+        monkeypatch.setattr(phrases, "HOT_PAIRS", hot)
     rows = made(least, 160)
     docs = spark.createDataFrame([(*r, i, 7) for i, r in enumerate(rows)], "text string, lang string, word int, n int").repartition(5)
     assert got(collocations(docs, least, longest, top)) == plain(rows, least, longest, top)

@@ -86,6 +86,14 @@ def frequent(counts: DataFrame, key: str, n: str = "n", most: int = HOT_ENTRIES)
     return 1 << cut
 
 
+def give_back() -> None:
+    """Give memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _RESIDENT: list = [None, None]
 
 
@@ -97,10 +105,7 @@ def resident(key, make: Callable[[], object] = lambda: None):
     """
     if _RESIDENT[0] != key:
         _RESIDENT[:] = [None, None]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         _RESIDENT[:] = [key, make()]
     return _RESIDENT[1]
 

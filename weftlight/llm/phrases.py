@@ -1,10 +1,10 @@
 """Phrase collocation mining by hierarchical pair naming: a frequent k-gram is a named pair of (k-1)-gram names.
 
-Texts become blocks of word numbers, cut at piece boundaries. At each level a block's distinct adjacent pairs are counted
-in its task; the counts of a pair meet by its two names, frequent pairs get a name (a number that is theirs alone), and the
-names go back to the blocks that hold them, whose sequences are replaced by names of the next level. A name's two parents
-are its first and last k-1 words, so counts of prefixes, suffixes and contained phrases are found by following them. What
-meets by key is at most one row a block for a pair, however often it occurs.
+Texts become blocks of word numbers, cut between texts. At each level a block's distinct adjacent pairs are counted in its
+task; the counts of a pair meet by its two names, frequent pairs get a name (a number that is theirs alone), and sequences
+are replaced by names of the next level: the most frequent pairs, a bounded number, are looked up in a broadcast table, and
+the others are joined. A name's two parents are its first and last k-1 words, so counts of prefixes, suffixes and contained
+phrases are found by following them. What meets by key is at most one row a block for a word or pair, however often it occurs.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import discard, written
+from weftlight.llm.common import discard, give_back, written
 
 #: Bytes of text in a block, about: a longer text makes a longer block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Pairs that are broadcast at most (24 bytes each); the names of others reach their blocks by a join.
+HOT_PAIRS = 1 << 20
 #: Salts of the first of two rankings within a language.
 RANK_SALTS = 64
 BREAK = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -84,6 +86,7 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 if held >= BLOCK_BYTES:
                     yield from closed()
         yield from closed()
+        give_back()
 
     return rows.mapInArrow(run, "block long, lang string, seq binary, words array<string>, counts array<long>")
 
@@ -101,46 +104,120 @@ def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
-    """(block, at int, left long, right long, n long) per distinct adjacent pair of names of a block (block, seq, names)."""
+    """(left long, right long, n long) per distinct adjacent pair of names of a block (block, seq, names)."""
 
     def run(batches):
         for b in batches:
-            for block, seq, names in zip(b.column("block"), b.column("seq"), b.column("names"), strict=True):
+            for seq, names in zip(b.column("seq"), b.column("names"), strict=True):
                 left, right, at = _pairs(unpacked(seq.as_py()))
                 if len(left):
                     own = names.values.to_numpy()
                     n = np.bincount(at, minlength=len(left) + 1)[1:]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), block.as_py())), pa.array(np.arange(1, len(left) + 1, dtype=np.int32)), pa.array(own[left - 1]), pa.array(own[right - 1]), pa.array(n, pa.int64())], names=["block", "at", "left", "right", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[left - 1]), pa.array(own[right - 1]), pa.array(n, pa.int64())], names=["left", "right", "n"])
+        give_back()
 
-    return blocks.mapInArrow(run, "block long, at int, left long, right long, n long")
+    return blocks.mapInArrow(run, "left long, right long, n long")
 
 
-def named(rows: DataFrame, key: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """Names (id, key, f) of the keys whose n sum up to at least `least`, and where they are: (block, at, key, f).
+def word_names(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Where the frequent words are: (block, at, lang, word, f, id), and their names (id, lang, word, f).
 
-    Both sides of the join read one exchange, as a key has at most one row a block.
+    Both sides of the join read one exchange, as a word has one row a block. A word's rows are all made by one task, which
+    gives it its name; names hold from when they are written.
     """
-    dealt = rows.repartition(*key)
-    counts = dealt.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    kept = written(dealt.join(counts.hint("shuffle_hash"), key).select("block", "at", *key, "f"), "kept")
-    return written(kept.groupBy(*key).agg(F.first("f").alias("f")).select(F.monotonically_increasing_id().alias("id"), *key, "f"), "names"), kept
+    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", (F.col("at") + 1).alias("at"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    dealt = rows.repartition("lang", "word")
+    counts = dealt.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
+    kept = written(dealt.join(counts.hint("shuffle_hash"), ["lang", "word"]).select("block", "at", "lang", "word", "f", "id"), "kept")
+    return kept, kept.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("f").alias("f"))
 
 
-def replaced(blocks: DataFrame, kept: DataFrame, names: DataFrame, key: list[str], pairs: bool) -> DataFrame:
-    """(block, seq binary, names array<long>): the blocks' sequences with the named words, or pairs, in place of the old."""
-    found = kept.join(names.select("id", *key), key).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+class PairTable:
+    """Names of pairs, looked up exactly: both sides by rank, then the pair of ranks."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        self.left, self.right = np.unique(left), np.unique(right)
+        keys = np.searchsorted(self.left, left) * max(1, len(self.right)) + np.searchsorted(self.right, right)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    @staticmethod
+    def _rank(known: np.ndarray, names: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
+        return np.where(known[at] == names, at, -1) if len(known) else np.full(len(names), -1)
+
+    def find(self, names: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids of pairs of places (from 1) in names; -1 for others."""
+        a, z = self._rank(self.left, names)[left - 1], self._rank(self.right, names)[right - 1]
+        out = np.full(len(left), -1, np.int64)
+        both = np.flatnonzero((a >= 0) & (z >= 0))
+        at = self._rank(self.keys, a[both] * max(1, len(self.right)) + z[both])
+        out[both[at >= 0]] = self.ids[at[at >= 0]]
+        return out
+
+
+def _renamed(block: int, at: np.ndarray, old: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A block whose numbers `old` become 1, 2, ... with the names ids; all others end a run."""
+    new = np.zeros(int(at.max(initial=0)) + 1, np.uint32)
+    new[old] = np.arange(1, len(old) + 1)
+    names = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(_single_breaks(new[at]))], pa.binary()), names], names=["block", "seq", "names"])
+
+
+BLOCK = "block long, seq binary, names array<long>"
+
+
+def in_words(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+    """(block, seq, names): the blocks' sequences of frequent words."""
+    found = kept.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))
 
     def run(batches):
         for b in batches:
-            for block, data, have in zip(b.column("block"), b.column("seq"), b.column("found"), strict=True):
-                seq = unpacked(data.as_py())
-                at = _pairs(seq)[2] if pairs else seq
-                old, ids = (have.values.field(i).to_numpy() for i in (0, 1))
-                new = np.zeros(int(at.max()) + 1, np.uint32)
-                new[old] = np.arange(1, len(old) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([packed(_single_breaks(new[at]))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))], names=["block", "seq", "names"])
+            for block, seq, have in zip(b.column("block"), b.column("seq"), b.column("found"), strict=True):
+                yield _renamed(block.as_py(), unpacked(seq.as_py()), *(have.values.field(i).to_numpy() for i in (0, 1)))
+        give_back()
 
-    return blocks.select("block", "seq").join(found, "block").mapInArrow(run, "block long, seq binary, names array<long>")
+    return blocks.select("block", "seq").join(found, "block").mapInArrow(run, BLOCK)
+
+
+def in_pairs(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """(block, seq, names): the blocks' sequences of frequent pairs; names: (id, left, right, f) as a table."""
+    spark = blocks.sparkSession
+    per = {r["b"]: r["count"] for r in names.groupBy(F.floor(F.log2("f")).cast("int").alias("b")).count().collect()}
+    cut = next((b + 1 for b in range(63, -1, -1) if sum(n for k, n in per.items() if k >= b) > HOT_PAIRS), 0)
+    hot = names.filter(F.col("f") >= 1 << cut).select("left", "right", "id").toArrow()
+    shared = spark.sparkContext.broadcast(PairTable(*(hot.column(c).to_numpy() for c in ("left", "right", "id"))))
+
+    def hot_and_rest(seq, own):
+        left, right, at = _pairs(unpacked(seq))
+        own = own.values.to_numpy() if len(own) else np.empty(0, np.int64)
+        return left, right, at, own, shared.value.find(own, left, right)
+
+    def run(batches):
+        for b in batches:
+            rest = b.column("found") if "found" in b.schema.names else [None] * b.num_rows
+            for block, seq, own, have in zip(b.column("block"), b.column("seq"), b.column("names"), rest, strict=True):
+                _, _, at, _, ids = hot_and_rest(seq.as_py(), own)
+                old = np.flatnonzero(ids >= 0) + 1
+                ids = ids[old - 1]
+                if have is not None and have.is_valid:
+                    old, ids = np.concatenate((old, have.values.field(0).to_numpy())), np.concatenate((ids, have.values.field(1).to_numpy()))
+                if len(old):
+                    yield _renamed(block.as_py(), at, old, ids)
+        give_back()
+
+    def others(batches):
+        for b in batches:
+            for block, seq, own in zip(b.column("block"), b.column("seq"), b.column("names"), strict=True):
+                left, right, _, own, ids = hot_and_rest(seq.as_py(), own)
+                at = np.flatnonzero(ids < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block.as_py(), np.int64)), pa.array((at + 1).astype(np.int32)), pa.array(own[left[at] - 1]), pa.array(own[right[at] - 1])], names=["block", "at", "left", "right"])
+        give_back()
+
+    if any(b < cut for b in per):
+        rest = blocks.mapInArrow(others, "block long, at int, left long, right long").join(names.filter(F.col("f") < 1 << cut), ["left", "right"])
+        blocks = blocks.join(rest.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "block", "left")
+    return blocks.mapInArrow(run, BLOCK)
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, inside: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -155,25 +232,26 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     """
     blocks = written(word_blocks(docs, text_col, lang_col), "blocks")
     totals = written(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n")), "totals")
-    key, rows = ["lang", "word"], blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", (F.col("at") + 1).alias("at"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    spent, levels, known = [totals], [], None
-    for k in range(1, longest + 1):
-        names, kept = named(rows, key, least)
-        if known is None:
-            level = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("pre"), F.array("f").alias("suf"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
-        else:
-            first = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("heads"))
-            rest = known.select(F.col("id").alias("right"), "last", F.col("suf").alias("tails"))
-            level = names.join(first, "left").join(rest, "right").select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("pre"), F.concat("tails", F.array("f")).alias("suf"), "left", "right")
-        known = written(level, "level")
+    kept, names = word_names(blocks, least)
+    known = written(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("pre"), F.array("f").alias("suf")), "level")
+    levels = [known]
+    new = written(in_words(blocks, kept), "blocks")
+    discard(blocks, kept)
+    blocks = new
+    for k in range(2, longest + 1):
+        counts = pair_counts(blocks).groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        names = written(counts.withColumn("id", F.monotonically_increasing_id()), "names")
+        first = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("heads"))
+        rest = known.select(F.col("id").alias("right"), "last", F.col("suf").alias("tails"))
+        known = written(names.join(first, "left").join(rest, "right").select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("pre"), F.concat("tails", F.array("f")).alias("suf"), "left", "right"), "level")
         levels.append(known)
         if k < longest:
-            new = written(replaced(blocks, kept, names, key, k > 1), "blocks")
+            new = written(in_pairs(blocks, names), "blocks")
             discard(blocks)
-            blocks, rows, key = new, pair_counts(new), ["left", "right"]
-        discard(names, kept)
+            blocks = new
+        discard(names)
     discard(blocks)
-    spent += levels
+    spent = [totals, *levels]
     scored = []
     for k in range(2, longest + 1):
         cuts = [F.expr(f"struct(cast(cast(2000000 as decimal(7,0)) * cast(f as decimal(19,0)) div (cast(pre[{j - 1}] as decimal(19,0)) + cast(suf[{k - j - 1}] as decimal(19,0))) as long) as score, {j} as cut, pre[{j - 1}] as l, suf[{k - j - 1}] as r)") for j in range(1, k)]
