@@ -65,3 +65,26 @@ def test_the_training_sample_is_the_first_rows_by_hash(spark):
     assert sum(x == "a" for x, _ in got) == 20 and sum(x == "b" for x, _ in got) == 30 and not any(len(t) > 8000 for x, t in got if x == "b")
     first = docs.filter("lang = 'b' and id % 10 <> 0".replace("id", "doc_id")).orderBy(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))).limit(30).collect()
     assert {t for x, t in got if x == "b"} == {r["text"] for r in first}
+
+
+def test_repeated_ids_send_one_text_a_hash_to_the_driver(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("cast(if(id < 1000, null, if(id < 2000, 7, id)) as long) as doc_id", "concat('text ', lpad(id, 5, '0')) as text", "'en' as lang")
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    got = L.training_texts(docs, 900)
+    texts = [r for rows in sent for r in rows if "text" in r]
+    assert len(got) == 900 == len(texts) == len({r["h"] for r in texts})
+    every = L.training_texts(docs, 2000)
+    assert len(every) == 1002 and ("en", "text 00999") in every and ("en", "text 01999") in every
+
+
+def test_texts_in_no_language_of_the_model_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit(docs)
+    text = {r["lang"]: " ".join(L.tokens(r["text"])[:80]) for r in docs.filter("length(text) > 3000").select("lang", "text").collect()}
+    every = " ".join(text.values())
+    rows = [(1, every), (3, text["en"] + " " + text["fr"]), (4, text["de"]), (5, "Avec."), (6, "Слово"), (7, "12 ."), (1, every)]
+    odd = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, lang_pred string")
+    kept = L.recognised(odd, model)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
+    assert L.recognised(docs, model).count() >= 0.998 * docs.count()

@@ -1,7 +1,10 @@
 import itertools
 import unicodedata
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from weftlight.llm import language
 from weftlight.llm.simhash import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -29,13 +32,17 @@ def near_groups(rows):
 def test_each_stage_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cols = docs.columns
-    extra = spark.createDataFrame([(90001, None, "en", "s", 0), (90002, "12 34 ..", "en", "s", 8), (90003, "", None, "s", 0)], docs.schema)
+    parts = docs.filter("length(text) > 1000").groupBy("lang").agg(F.expr("substr(min(text), 1, 600)").alias("t")).collect()
+    assert len(parts) == 4
+    extra = spark.createDataFrame([(90001, None, "en", "s", 0), (90002, "12 34 ..", "en", "s", 8), (90003, "", None, "s", 0), (90004, " ".join(r["t"] for r in parts), None, "s", 0)], docs.schema)
     docs = docs.unionByName(extra)
     one = P.language_id(spark, docs, SF)
     assert one.columns == cols
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept = {d for d, t in rows.items() if any(unicodedata.category(c)[0] == "L" for c in t or "")}
-    assert {r["doc_id"] for r in one.collect()} == kept
+    model = language.fit(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    score = {r["doc_id"]: r["score"] for r in language.predict(docs, model).collect()}
+    kept = {d for d, t in rows.items() if any(unicodedata.category(c)[0] == "L" for c in t or "") and (score[d] >= language.LEAST_SHARE or len(language.tokens(t)) < language.LEAST_WORDS)}
+    assert 90004 not in kept and {r["doc_id"] for r in one.collect()} == kept
     two = P.exact_dedup_stage(spark, one, SF)
     best = {}
     for d in sorted(kept):

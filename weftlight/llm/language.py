@@ -25,6 +25,8 @@ from weftlight.llm.pretokens import Cache
 BUCKETS, TEXTS, EPOCHS = 1 << 16, 250, 6
 #: Texts of at most so many characters are preferred for training, which bounds what comes to the driver.
 TEXT_CHARS = 8000
+#: A text of at least so many words in which the likeliest language has less than this share is in no language of the model.
+LEAST_SHARE, LEAST_WORDS = 0.4, 8
 #: Label of a text without letters.
 UNKNOWN = "und"
 _ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
@@ -211,7 +213,8 @@ def training_texts(docs: DataFrame, per_language: int = TEXTS, id_col: str = "do
 
     Texts of at most TEXT_CHARS characters come before longer ones. The rows of each language and length are counted, and
     only those whose hash lies below a cutoff that lets about twice the wanted number pass are ranked (a cutoff that lets
-    too few pass is raised); so no task or driver sees more however large a language is. Then the chosen texts are fetched.
+    too few pass is raised); so no task or driver sees more however large a language is. Then the chosen texts are fetched,
+    one a hash: of rows that share language and id (null ids too) the text last in order, picked before the driver sees any.
     """
     rows = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("string")).alias("h"))
     light = rows.select("lang", (F.length("text") > TEXT_CHARS).alias("long"), F.pmod("h", F.lit(1 << 30)).alias("u"), "h")
@@ -229,8 +232,9 @@ def training_texts(docs: DataFrame, per_language: int = TEXTS, id_col: str = "do
         cut = {g: min(1 << 30, 4 * c) for g, c in cut.items() if g not in done}
     if not chosen:
         return []
-    got = rows.join(F.broadcast(spark.createDataFrame(sorted(set(chosen)), "lang string, h long")), ["lang", "h"]).collect()
-    return sorted({(r["lang"], r["h"]): (r["lang"], r["text"]) for r in sorted(got, key=lambda r: r["text"])}.values())
+    wanted = F.broadcast(spark.createDataFrame(sorted(set(chosen)), "lang string, h long"))
+    got = rows.join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()
+    return sorted((r["lang"], r["text"]) for r in got)
 
 
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -307,16 +311,20 @@ def fit(docs: DataFrame, per_language: int = TEXTS, id_col: str = "doc_id", text
     return _fit(tuple(texts))
 
 
-def recognised(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, in whose text the model finds a language; null, empty and letterless texts go.
+def recognised(docs: DataFrame, model: Crf | None, least: float = LEAST_SHARE, words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in whose text the model finds a language.
 
+    Null, empty and letterless texts go, and texts of at least `words` words of which the likeliest language has a share
+    (score) below `least`: they are in another language or in several alike. Shorter texts say too little to be turned down.
     Without a model (no labelled rows) every text with a letter stays. Repeated rows fare alike; an empty table gives none.
     """
     if model is None:
         return docs.filter(docs[text_col].rlike(r"\p{L}"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = predict(docs.toDF(*names), model, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
+    text = names[docs.columns.index(text_col)]
+    found = predict(docs.toDF(*names), model, names[docs.columns.index(id_col)], text)
+    short = F.regexp_count(F.col(text), F.lit(r"\p{L}+(?:['’]\p{L}+)*")) < words
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | short)).select(*names).toDF(*docs.columns)
 
 
 @functools.lru_cache(2)
