@@ -9,8 +9,9 @@ from weftlight.llm.common import crc_fold, tokenizer_path, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the language model (operator 3) finds a language; texts that are null or hold no letter go.
+    """Documents in which the language model (operator 3) finds a language.
 
+    Texts that are null or hold no letter go, and texts of eight words or more of which no language of the model has 0.4.
     The model learns from the labelled documents outside the held-out fold; labels decide nothing else, and without any
     every text with a letter stays. Repeated rows fare alike; further columns of any name are kept; an empty table gives
     no row.
