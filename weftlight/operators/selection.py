@@ -88,7 +88,7 @@ def supersede(memory: DataFrame, key: list[str], at: str, value: str, confidence
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, ident]).reset_index(drop=True)
-        live, standing = [False] * len(pdf), None
+        live, standing, since = [False] * len(pdf), None, 0  # rows before `since` are archived already
         for i in range(len(pdf)):
             if standing is None:
                 standing, live[i] = i, True
@@ -97,9 +97,8 @@ def supersede(memory: DataFrame, key: list[str], at: str, value: str, confidence
                 if pdf.at[i, confidence] >= pdf.at[standing, confidence]:
                     standing = i
             elif pdf.at[i, confidence] >= pdf.at[standing, confidence]:
-                for j in range(i):
-                    live[j] = False
-                standing, live[i] = i, True
+                live[since:i] = [False] * (i - since)
+                standing, since, live[i] = i, i, True
         return pdf.assign(live=live)
 
     return memory.groupBy(*key).applyInPandas(run, cols)
