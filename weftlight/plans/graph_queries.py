@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlight.operators import graph, planning, selection
 from weftlight.plans.registry import query
+from weftlight.plans.storage_queries import SUPERSEDED
 from weftlight.streaming import streams
 
 EDGES = """edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'has_nation' AS kind, 1.0::DOUBLE AS confidence FROM nation
@@ -94,7 +95,7 @@ def _(t):
     return t.sql("SELECT event_type, user_id, count(*) AS n, round(avg(value), 4) AS mean FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())", "events")
 
 
-@query("memory_supersession")
+@query("memory_supersession", f"WITH RECURSIVE {SUPERSEDED} SELECT event_id, live FROM l")
 def _(t):
     return selection.supersede(t.events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").alias("object")), ["user_id", "event_type"], "ts", "object", "value", "event_id").select("event_id", "live")
 
@@ -173,7 +174,9 @@ def gains(e):
     return streams.gain(e.filter("k is not null"), "user_id", "day", "k").unionByName(e.limit(0).select("user_id", "day", F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("new"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("gain"), F.lit(0).alias("empty_run")))
 
 
-@query("consecutive_empty")
+@query("consecutive_empty", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL), f AS (SELECT user_id, k, min(day) AS day FROM e GROUP BY 1, 2), n AS (SELECT DISTINCT user_id, day FROM f),
+  s AS (SELECT d.user_id, d.day, n.day IS NOT NULL AS new FROM (SELECT DISTINCT user_id, day FROM e) d LEFT JOIN n ON n.user_id = d.user_id AND n.day = d.day), i AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY day) AS island FROM s)
+  SELECT user_id, day, CAST(count(*) FILTER (NOT new) OVER (PARTITION BY user_id, island ORDER BY day) AS INTEGER) AS empty_run FROM i""")
 def _(t):
     return gains(t.events.select("user_id", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").alias("k"))).select("user_id", "day", "empty_run")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlight.operators.selection import layer_cap, supersede
+from weftlight.sources.places import shared_folder
 from weftlight.sources.snapshots import Manifest, Store
 
 
@@ -39,7 +40,9 @@ def remember(store: Store, new: DataFrame, cap: int, writer: tuple[str, int] | N
     def make(at: Manifest) -> dict[str, DataFrame]:
         known = "memory" in at.tables
         every = store.read("memory", of=at).unionByName(new) if known else new
-        judged = supersede(every, list(KEY), "created", "value", "confidence", "id")
+        place = shared_folder(store.spark, "judged")  # what three tables are made of is computed once
+        supersede(every, list(KEY), "created", "value", "confidence", "id").write.parquet(place)
+        judged = store.spark.read.parquet(place)
         live = judged.filter("live").drop("live")
         kept = layer_cap(live, "layer", cap, [F.desc("confidence"), F.desc("created"), F.col("id")])
         gone = judged.filter("not live").drop("live").withColumn("reason", F.lit("superseded")).unionByName(live.join(kept.select("id"), "id", "left_anti").select(*live.columns).withColumn("reason", F.lit("over the cap")))
