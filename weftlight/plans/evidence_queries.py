@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftlight.functions import text as X
-from weftlight.operators import claims, evaluation, extraction, planning
+from weftlight.operators import claims, evaluation, extraction, fuzzy, planning
 from weftlight.plans.registry import query
 from weftlight.plans.retrieval_queries import BM25, lexical_hits
 from weftlight.sources import files, sinks
@@ -330,6 +330,13 @@ def _(t):
     return extraction.similar_names(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).select("a", "b")
 
 
+@query("names_in_questions")
+def _(t):
+    """Long words of the questions as entity names, and the questions that hold them or something alike."""
+    words = t.benchmark.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+")).alias("name")).filter("length(name) >= 9").distinct()
+    return fuzzy.names_in_texts(words.select(F.col("name").alias("id"), "name"), t.benchmark.select(F.col("item_id").alias("key"), "text"), 0.8).select(F.col("id").alias("name"), F.col("key").alias("item_id"), F.round("likeness", 6).alias("likeness"))
+
+
 @query("metadata_filter", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
 def _(t):
     k = F.get_json_object("props", "$.k")
