@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftlight.operators import graph, planning, selection
+from weftlight.operators import graph, planning, resolution, selection
 from weftlight.plans.registry import query
 from weftlight.plans.storage_queries import SUPERSEDED
 from weftlight.streaming import streams
@@ -310,3 +310,15 @@ def _(t):
 @query("hash_checksums", "SELECT conv_id, turn, sha256(text) AS sha, md5(text) AS md FROM conversations")
 def _(t):
     return t.conversations.select("conv_id", "turn", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
+
+
+@query("entity_resolution", """WITH RECURSIVE e AS (SELECT user_id, json_extract_string(props, '$.k') AS k, event_id FROM events WHERE event_type = 'signup' AND value >= 22),
+  g AS (SELECT DISTINCT 'u' || user_id AS a, 'k' || k AS b FROM e WHERE k IS NOT NULL), s AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen),
+  f AS (SELECT seen AS name, min(event_id) AS first FROM (SELECT 'u' || user_id AS seen, event_id FROM e WHERE k IS NOT NULL) GROUP BY 1)
+  SELECT r.node AS name, min(f.first) AS id FROM r JOIN f ON f.name = r.seen GROUP BY 1""")
+def _(t):
+    """Users as entities and property values as their aliases, in two batches by time; ids are the first event's."""
+    rows = t.events.filter("event_type = 'signup' and value >= 22").withColumn("k", F.get_json_object("props", "$.k")).filter("k is not null")
+    batch = lambda part: rows.filter(part).select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.array(F.concat(F.lit("k"), "k")).alias("aliases"))
+    index, _ = resolution.resolve(None, batch("dayofmonth(ts) <= 15"))
+    return resolution.resolve(index, batch("dayofmonth(ts) > 15"))[0]
