@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from weftlight.operators.numbering import continued, numbered
 from weftlight.plans.registry import query
+from weftlight.plans.retrieval_queries import bm25_sql
 from weftlight.sources import memory
 from weftlight.sources.places import shared_folder
+from weftlight.sources.segments import SegmentedIndex
 from weftlight.sources.snapshots import Store
 from weftlight.streaming.joining import interval_join
 
@@ -73,3 +75,15 @@ def _(t):
         memory.remember(store, rows.filter(part), cap=1 << 30, writer=("memory", i))
     at = store.manifest()
     return store.read("memory", of=at).select(F.col("id").alias("event_id"), F.lit("memory").alias("place")).unionByName(store.read("archive", of=at).select(F.col("id").alias("event_id"), F.lit("archive").alias("place")))
+
+
+@query("segmented_bm25", f"""WITH kept AS (SELECT doc_id, text FROM documents WHERE source <> 'src3'), {bm25_sql('kept', 'doc_id', 'benchmark', 'item_id', 10)} SELECT item_id, doc_id, score, rank FROM lex10""")
+def _(t):
+    """An index of all documents from three segments, a source deleted from it, the segments of one tier merged; asked every question."""
+    index = SegmentedIndex(Store(t.spark, shared_folder(t.spark, "index")))
+    docs = t.documents.select("doc_id", "text")
+    for i in range(3):
+        index.append(docs.filter(F.pmod("doc_id", F.lit(3)) == i), writer=("build", i))
+    index.delete(t.documents.filter("source = 'src3'").select("doc_id"))
+    index.merge()
+    return index.search(t.benchmark, "item_id", 10)
