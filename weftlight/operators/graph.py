@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One row per (src, dst, kind): union of chunks, largest confidence, number of records."""
+    """One row per (src, dst, kind): largest confidence, number of records."""
     return edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_records"))
 
 

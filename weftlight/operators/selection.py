@@ -63,7 +63,7 @@ def near_duplicates_removed(hits: DataFrame, group: list[str], item: str, vec_co
 
 
 def neighbours(chunks: DataFrame, id_col: str = "doc_id", reach: int = 1) -> DataFrame:
-    """Each chunk with the text of its neighbours by ordinal; null beyond either end."""
+    """Each chunk with the ordinals of its neighbours; null beyond either end."""
     w = Window.partitionBy(id_col).orderBy("ordinal")
     return chunks.select(id_col, "ordinal", F.lag("ordinal", reach).over(w).alias("previous"), F.lead("ordinal", reach).over(w).alias("next"))
 
