@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of sorted digest runs; DataFrame functions only."""
+"""Exact dedup by a tree-merge of digest runs, merged by hash aggregation; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -22,8 +22,8 @@ def digests(text: Column) -> list[Column]:
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """(text_sha256, _check, _bytes, keep_id, group_size) per distinct text.
 
-    A run is one partition's distinct digests, sorted, with the best identifier and the number of rows of each: what the
-    partial aggregate makes before it exchanges. In each round runs whose numbers agree but for the next FAN_BITS bits
+    A run is one partition's distinct digests, with the best identifier and the number of rows of each: what the partial
+    aggregate makes before it exchanges. Runs are merged by hash, not in sorted order. In each round runs whose numbers agree but for the next FAN_BITS bits
     merge; after the last round one run, spread by digest over all tasks, is left. Only digests, identifiers and counts
     move, and a group of copies arrives as one row per run and round however many rows it has.
     """
