@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftlight.operators import graph, planning, resolution, selection
+from weftlight.operators import graph, graph_retrieval, planning, resolution, selection
 from weftlight.plans.registry import query
 from weftlight.plans.storage_queries import SUPERSEDED
 from weftlight.streaming import streams
@@ -322,3 +322,14 @@ def _(t):
     batch = lambda part: rows.filter(part).select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.array(F.concat(F.lit("k"), "k")).alias("aliases"))
     index, _ = resolution.resolve(None, batch("dayofmonth(ts) <= 15"))
     return resolution.resolve(index, batch("dayofmonth(ts) > 15"))[0]
+
+
+@query("graph_evidence", """SELECT region, chunk, max(score) AS score FROM (SELECT n_regionkey AS region, 'n' || n_nationkey AS chunk, 1.0::DOUBLE AS score FROM nation
+  UNION ALL SELECT n_regionkey, 'c' || c_custkey, 0.9 * 0.8 FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, 's' || s_suppkey, 0.8 * 0.8 FROM nation JOIN supplier ON s_nationkey = n_nationkey
+  UNION ALL SELECT r_regionkey, r_name, 0.5 FROM region UNION ALL SELECT n_regionkey, n_name, 0.5 FROM nation) GROUP BY 1, 2""")
+def _(t):
+    """What two steps from every region find: edges' chunks by their far end, nodes' chunks by their names."""
+    e = edges(t).withColumn("chunk", F.col("dst"))
+    names = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("chunk")).unionByName(t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_name").alias("chunk")))
+    seeds = t.region.select(F.col("r_regionkey").alias("region"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return graph_retrieval.evidence(e, names, seeds, "region", 2, kinds=("has_nation", "has_customer", "has_supplier"))
