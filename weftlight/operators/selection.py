@@ -89,14 +89,15 @@ def supersede(memory: DataFrame, key: list[str], at: str, value: str, confidence
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, ident]).reset_index(drop=True)
         live, standing, since = [False] * len(pdf), None, 0  # rows before `since` are archived already
+        values, sure = pdf[value].tolist(), pdf[confidence].tolist()
         for i in range(len(pdf)):
             if standing is None:
                 standing, live[i] = i, True
-            elif pdf.at[i, value] == pdf.at[standing, value]:
+            elif values[i] == values[standing]:
                 live[i] = True
-                if pdf.at[i, confidence] >= pdf.at[standing, confidence]:
+                if sure[i] >= sure[standing]:
                     standing = i
-            elif pdf.at[i, confidence] >= pdf.at[standing, confidence]:
+            elif sure[i] >= sure[standing]:
                 live[since:i] = [False] * (i - since)
                 standing, since, live[i] = i, i, True
         return pdf.assign(live=live)
