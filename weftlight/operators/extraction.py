@@ -22,6 +22,8 @@ PREDICATE_GROUPS = [
 ]
 #: Date formats, most precise first, with the precision they carry.
 DATE_FORMATS = [("yyyy-MM-dd'T'HH:mm:ss", "second"), ("yyyy-MM-dd HH:mm:ss", "second"), ("yyyy-MM-dd", "day"), ("dd MMM yyyy", "day"), ("MMM d, yyyy", "day"), ("yyyy-MM", "month"), ("yyyy", "year")]
+#: Names that are broadcast at most (of 16 characters on average); beyond them names and words meet by a shuffle.
+MOST_NAMES = 1 << 18
 
 
 def entity_name(name: Column) -> Column:
@@ -132,13 +134,24 @@ def looks_like_header(row: Column) -> Column:
 def linked_entities(texts: DataFrame, names: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, id): entities (id, name) whose name occurs in a text, in any case, between word boundaries.
 
-    Texts and names meet on the name's first word, so no pair of a text and a name is looked at that shares none.
+    Texts and names meet on the name's first word, so no pair of a text and a name is looked at that shares none. Only keys
+    and words go to that meeting: a name that is one word is found by it, and for the others the texts of the keys that
+    have the first word are fetched afterwards. Names of at most MOST_NAMES rows and characters are broadcast.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}_]+)", 1)
-    n = names.select("id", F.lower("name").alias("name"), first(F.col("name")).alias("w"))
-    t = texts.select(key, F.lower(text_col).alias("t")).withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), 1))))
-    hit = t.join(n, "w").filter(F.contains(F.concat(F.lit(" "), F.regexp_replace("t", r"[^\p{L}\p{N}_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("name", r"[^\p{L}\p{N}_]+", " "), F.lit(" "))))
-    return hit.select(key, "id").distinct()
+    word = r"([\p{L}\p{N}_]+)"
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    n = names.select("id", spaced(F.lower("name")).alias("name"), F.regexp_extract(F.lower("name"), word, 1).alias("w")).filter("w <> ''")
+    n = n.withColumn("alone", F.trim("name") == F.col("w"))
+    size = n.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars"), F.count_if(~F.col("alone")).alias("longer")).first()
+    if max(size["n"], size["chars"] // 16) <= MOST_NAMES:
+        n = F.broadcast(n)
+    t = texts.select(key, F.lower(text_col).alias("t"))
+    hit = t.select(key, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), 1))).alias("w")).join(n, "w")
+    out = hit.filter("alone").select(key, "id")
+    if size["longer"]:
+        maybe = hit.filter("not alone").select(key, "id", "name").distinct()
+        out = out.unionByName(t.join(maybe, key).filter(F.contains(spaced(F.col("t")), F.col("name"))).select(key, "id"))
+    return out.distinct()
 
 
 def similar_names(a: DataFrame, b: DataFrame, least: float = 0.8) -> DataFrame:
