@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftlight.operators import extraction
+from weftlight.operators import extraction, planning
 
 
 def _linked(texts, names):
@@ -35,3 +35,29 @@ def test_no_text_is_copied_for_its_words(spark):
     for line in hits._jdf.queryExecution().executedPlan().toString().splitlines():
         if "Generate explode" in line:
             assert "[k#" in line and ", t#" not in line
+
+
+def test_seeded_equals_all_pairs_and_keeps_ties_by_item(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    some = lambda: rng.sample(words, rng.randrange(7))
+    questions = [(i, i % 3, some()) for i in range(40)] + [(90, 0, words), (91, 0, ["none"]), (92, 0, None)]
+    hyps = [(i, some()) for i in rng.sample(range(1000), 80)] + [(1000 + i, ["w1", "w2"]) for i in range(30)] + [(2000, None), (2001, [f"x{i}" for i in range(127)] + ["w0"])]
+    want = set()
+    for a, b, q in questions:
+        got = [(-int(len({*q} & {*h}) / len({*q} | {*h}) * 1e6 + 0.5), i) for i, h in hyps if q and h and {*q} & {*h}]
+        want |= {(a, b, i, -v / 1e6, r) for r, (v, i) in enumerate(sorted(got)[:3], 1)}
+    q = spark.createDataFrame(questions, "a long, b int, q array<string>").repartition(3)
+    h = spark.createDataFrame(hyps, "item long, h array<string>").repartition(5)
+    for terms in (1 << 22, 40):
+        monkeypatch.setattr(planning, "SEED_TERMS", terms)
+        assert {tuple(r) for r in planning.seeded(q, ["a", "b"], h, "item", 3).collect()} == want
+    assert planning.seeded(q.limit(0), ["a", "b"], h, "item", 3).count() == 0 == planning.seeded(q, ["a", "b"], h.limit(0), "item", 3).count()
+
+
+def test_seeded_makes_no_row_of_a_pair(spark):
+    """All of 300 questions and 400 hypotheses share a word: 120 000 rows of pairs before, 3 rows a question and task now."""
+    side = lambda n, c: spark.range(n).select(F.col("id").alias("item" if c == "h" else "k"), F.array(F.lit("the"), F.col("id").cast("string")).alias(c))
+    out = planning.seeded(side(300, "q"), ["k"], side(400, "h"), "item", 3)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 900
