@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftlight.operators import extraction, planning
+from weftlight.operators import extraction, lexical, planning
 
 
 def _linked(texts, names):
@@ -61,3 +61,32 @@ def test_seeded_makes_no_row_of_a_pair(spark):
     out = planning.seeded(side(300, "q"), ["k"], side(400, "h"), "item", 3)
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 900
+
+
+def _items(spark, n=600):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"é{i}" if i % 7 else None if i == 7 else f"z{i}", i % 4, "rare w1 w2" if i % 3 == 0 else " ".join(rng.choices(words, k=rng.randrange(1, 12)))) for i in range(n)]
+    rng.shuffle(rows)
+    items = spark.createDataFrame([*rows, ("none", 0, None), ("empty", 0, "")], "a string, b int, text string").repartition(3)
+    asks = [(1, "w1 W1 w3 other"), (2, "rare"), (3, "w1 w2 rare"), (4, "never"), (5, None), (6, "w24"), (7, "")]
+    return items, spark.createDataFrame(asks, "q int, text string")
+
+
+def test_best_in_tasks_keeps_ties_by_keys(spark):
+    items, asks = _items(spark)
+    rows = lambda df: {tuple(r) for r in df.select("q", "a", "b", "score", "rank").collect()}
+    want = rows(lexical.top_k(lexical.bm25_scores(items, ["a", "b"], asks, "q"), ["q"], 9, ["a", "b"]))
+    assert rows(lexical.bm25_top_k(items, ["a", "b"], asks, "q", 9)) == want and len(want) > 20
+    assert rows(lexical.sparse_top_k(items, ["a", "b"], asks, "q", 9)) == rows(lexical.top_k(lexical.sparse_dot(items, ["a", "b"], asks, "q"), ["q"], 9, ["a", "b"]))
+
+
+def test_a_task_keeps_k_rows_a_question(spark, monkeypatch):
+    """Items that score alike, or nothing, were all kept before: tasks now give k rows a question at most."""
+    items, asks = _items(spark)
+    seen = []
+    plain = lexical.top_k
+    monkeypatch.setattr(lexical, "top_k", lambda scores, *a, **kw: seen.append(scores.groupBy("q", F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]) or plain(scores, *a, **kw))
+    lexical.bm25_top_k(items, ["a", "b"], asks, "q", 9)
+    lexical.sparse_top_k(items, ["a", "b"], asks, "q", 9)
+    assert seen == [9, 9]
