@@ -1,11 +1,11 @@
-"""Joins on words move keys and words, not texts, and give what looking at every pair gives."""
+"""Joins and groups stay bounded and give what looking at every pair, or at every row in turn, gives."""
 
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from weftlight.operators import extraction, lexical, planning
+from weftlight.operators import extraction, lexical, planning, selection
 
 
 def _linked(texts, names):
@@ -90,3 +90,46 @@ def test_a_task_keeps_k_rows_a_question(spark, monkeypatch):
     lexical.bm25_top_k(items, ["a", "b"], asks, "q", 9)
     lexical.sparse_top_k(items, ["a", "b"], asks, "q", 9)
     assert seen == [9, 9]
+
+
+def _superseded(rows):
+    """Rows (id, key, at, value, confidence) one after the other: the ids that are live."""
+    live, standing, out = {}, {}, set()
+    for i, k, _, v, c in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        if k not in standing:
+            standing[k], live[k] = (v, c), {i}
+            continue
+        old, sure = standing[k]
+        takes = c is not None and sure is not None and c >= sure
+        if v != old and takes:
+            live[k] = set()
+        if v == old or takes:
+            live[k].add(i)
+        if takes:
+            standing[k] = (v, c)
+    for ids in live.values():
+        out |= ids
+    return out
+
+
+def test_supersession_row_by_row(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None, *"cdefgh"]), rng.choice([None, *range(30)]), rng.choice(["u", "v", None]), rng.choice([None, 0.1, 0.5, 0.5, 0.9]) if i % 3 else rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, at long, v string, c double").repartition(3)
+    out = selection.supersede(df, ["k"], "at", "v", "c", "id")
+    assert out.columns == [*df.columns, "live"] and {r["id"] for r in out.filter("live").collect()} == _superseded(rows) and out.count() == 400
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # a key's rows are not held by one call
+
+
+def test_a_large_cap_sorts_no_layer_in_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, 1.0, 2.0])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, layer string, c double")
+    order = [F.desc("c"), F.col("id")]
+    for cap in (7, 60, 500):
+        want = sorted(r["id"] for r in selection.layer_cap(df, "layer", cap, order).collect())
+        with monkeypatch.context() as m:
+            m.setattr(selection, "MOST_RANKED", 3)
+            out = selection.layer_cap(df, "layer", cap, order)
+            assert sorted(r["id"] for r in out.collect()) == want and out.columns == df.columns
+            assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
