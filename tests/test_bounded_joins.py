@@ -133,3 +133,11 @@ def test_a_large_cap_sorts_no_layer_in_one_task(spark, monkeypatch):
             out = selection.layer_cap(df, "layer", cap, order)
             assert sorted(r["id"] for r in out.collect()) == want and out.columns == df.columns
             assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_search_once(spark, monkeypatch):
+    from weftlight.plans import catalogue, evidence_queries
+
+    calls, plain = [], evidence_queries.lexical_hits
+    monkeypatch.setattr(evidence_queries, "lexical_hits", lambda t: calls.append(1) or plain(t))
+    assert catalogue.QUERIES["sufficiency_level"](spark, "/root/testdata/sf0.001").count() > 0 and calls == [1]
