@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftlight.llm import mixing as M
@@ -79,3 +80,37 @@ def test_probabilities_of_all_symbols_sum_to_at_most_one(spark):
             last = np.isin(owner, ends - 1)
             total += np.exp(np.bincount(owner[last], np.log(p[last]))[ends - 1]).sum()
         assert 0.5 < total <= 1 + 1e-6
+
+
+def test_words_of_a_column_are_those_of_each_text():
+    texts = [" Two\x0bWords ", None, "", "\t", "É é\u00a0x\x1cY Z\x00", "A", "a\r\nB  c"]
+    flat, size = M.split_words(pa.array(["cut off", *texts]).slice(1))
+    want = [[t.encode() for t in tokens(x)[:-1]] for x in texts]
+    assert flat.to_pylist() == [t for x in want for t in x] and size.tolist() == [len(x) for x in want]
+
+
+def test_weights_are_fitted_to_every_bit_of_all_training_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    model, _ = M.train(docs, hot=2000)
+    reader = M.Reader(model.alphabet)
+    texts = [r["text"] for r in docs.collect()]
+    assert len(texts) > 256
+    codes, ends = reader.read(pa.array(texts))
+    size, _, _, _ = reader.expanded(codes, ends)
+    assert model.fitted_bits == (size.sum(), sum(int(model.alphabet.byte_length[list(w + b" ")].sum()) for w in reader.spelled))
+
+
+def test_fitted_weights_are_the_likeliest():
+    rng = np.random.default_rng(1)
+    point = np.concatenate([-np.array(M.GRID[:0:-1]), M.GRID])
+    cells = rng.choice(len(point) ** 3, 400, replace=False)
+    x = point[np.stack(np.unravel_index(cells, (len(point),) * 3))]
+    true = np.array([0.5, 0.2, 0.35])
+    one = np.rint(1e6 / (1 + np.exp(-(true @ x))))
+    w = M.fitted([(7, cells, np.stack([1e6 - one, one]))], M.WORD_START)
+    assert np.allclose(w[:, 7], true, atol=1e-3) and np.allclose(w[:, 8], M.WORD_START)
+
+
+def test_log_odds_on_the_grid_keep_their_place():
+    level = M._levels()[np.rint(np.array([*M.GRID, *(-g for g in M.GRID)]) * M.SCALE).astype(np.int16).view(np.uint16)]
+    assert level.tolist() == [*range(12, 25), *range(12, -1, -1)]

@@ -10,10 +10,10 @@ have gets, besides its spelling's, the probability of its exact count, mixed by
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlight.llm.common import HOT_CHARS, HOT_ENTRIES, blocks, columns, crc_fold, frequent, resident, texts_of, written
+from weftlight.llm.common import HOT_CHARS, HOT_ENTRIES, blocks, columns, crc_fold, frequent, resident, written
 
 #: log2 of the slots of each table: three for words, three for spelled bytes.
 TABLE_BITS = (20, 21, 22, 18, 20, 20)
@@ -31,23 +31,55 @@ BLOCK_BITS = 14
 PRIOR, SCALE = 0.3, 2048.0
 #: Bits after which a text's weights are adapted, the rate, and a damping number of bits.
 STEP, RATE, DAMP = 2048, 0.6, 200.0
-#: Texts and spelled words from which the first weights are fitted.
-SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_CHARS = 256, 20_000, 8000
 #: Gates, and the log-odds above which a context counts as surely seen.
 GATES, SURE = 108, 1.6
-#: Bytes of text that are expanded to bits at once (a bit takes some 60 bytes).
-TEXT_BLOCK = 1 << 20
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of text that are read at once, and tokens and spelled words that are expanded to bits at once.
+TEXT_BLOCK, BIT_BLOCK, WORD_BLOCK = 4 << 20, 10_000, 1000
+#: Log-odds to which the fit of the first weights rounds its inputs: one and two sightings of a slot lie on the grid.
+GRID = (0.0, 0.25, 0.6, 1.0, 1.466, 2.037, 2.5, 3.1, 4.0, 5.2, 7.0, 9.5, 13.0)
+#: Steps of that fit, its ridge towards the start, and the start: weights of the three orders of words and of spelled bytes.
+FIT_STEPS, RIDGE, WORD_START, BYTE_START = 30, 20.0, (0.9, 0.1, 0.1), (0.3, 0.3, 0.4)
 _M = np.uint32(2654435761)
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8").translate(_LOWER).split()
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts laid end to end, A-Z lower-cased, and how many each text has; null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    flat, size = lists.flatten().cast(pa.binary()), np.diff(lists.offsets.to_numpy())
+    used = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(used, min_count=0).as_py():  # white space at the ends of a text
+        before = np.concatenate(([0], np.cumsum(used.to_numpy(zero_copy_only=False))))
+        flat, size = flat.filter(used), np.diff(before[np.concatenate(([0], np.cumsum(size)))])
+    return flat, size
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Huffman's lengths: the two lightest nodes are merged again and again, from two queues that are both in order."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    leaf, made, up = counts[order].tolist(), [], [0] * (2 * n - 1)
+    i = j = 0
+    for k in range(n, 2 * n - 1):
+        weight = 0
+        for _ in range(2):
+            if j >= len(made) or i < n and leaf[i] <= made[j]:
+                weight, up[i], i = weight + leaf[i], k, i + 1
+            else:
+                weight, up[n + j], j = weight + made[j], k, j + 1
+        made.append(weight)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[up[k]] + 1
+    if max(depth) > 30:  # codes have 32 bits: the rarest are given a few more sightings
+        return code_lengths(np.maximum(counts, counts.sum() / (1 << 19)))
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(1, depth[:n])
+    return out
 
 
 def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code and length of each symbol: canonical, lengths by Shannon's rule (so Kraft's sum is at most one)."""
-    length = np.maximum(1, np.ceil(-np.log2(counts / counts.sum()) - 1e-9)).astype(np.int64)
+    """Code and length of each symbol: canonical, lengths by Huffman's merges (so no code has fewer bits a token)."""
+    length = code_lengths(counts)
     order = np.lexsort((np.arange(len(counts)), length))
     code, at, last = np.zeros(len(counts), np.int64), 0, 0
     sizes, first = np.unique(length[order], return_index=True)
@@ -68,7 +100,7 @@ def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 class Alphabet:
     """Codes of words and bytes, and for each word symbol the hash under which it is a context."""
 
-    vocab: dict[bytes, int]
+    vocab: pa.Array
     counts: np.ndarray  # training counts of the vocabulary
     code: np.ndarray  # vocabulary, end, escape
     length: np.ndarray
@@ -95,37 +127,83 @@ def expand(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, depth, node, bit.astype(bool)
 
 
-def slots(node: np.ndarray, contexts: list[np.ndarray], tables: range) -> list[np.ndarray]:
-    return [mixed(node + np.uint32(0x9E3779B9 * (t + 1) & 0xFFFFFFFF), c) * _M >> np.uint32(32 - TABLE_BITS[t]) for t, c in zip(tables, contexts, strict=True)]
+def node_hash(node: np.ndarray, depth: np.ndarray, table: int) -> np.ndarray:
+    """What a code node adds to its slot of a table; with context_hash() by exclusive or, as tabulation hashing has it.
+
+    The seven nodes of three levels lie in eight slots side by side, so a codeword touches a third as many cache lines.
+    """
+    low = depth.astype(np.uint32) % np.uint32(3)
+    one = np.uint32(1) << low
+    h = mixed(mixed(node >> low, 0x9E3779B9 * (table + 1) & 0xFFFFFFFF), 0x7F4A7C15) * _M >> np.uint32(32 - TABLE_BITS[table])
+    return (h & np.uint32(0xFFFFFFF8)) | one | (node & (one - np.uint32(1)))
+
+
+def context_hash(context: np.ndarray, table: int) -> np.ndarray:
+    h = mixed(mixed(context, 0x85EBCA6B * (table + 1) & 0xFFFFFFFF), 0x27D4EB2F) * _M >> np.uint32(32 - TABLE_BITS[table])
+    return h & np.uint32(0xFFFFFFF8)
+
+
+class Codes:
+    """The bits of all codewords laid end to end, with what a bit brings along whatever its context is."""
+
+    def __init__(self, code: np.ndarray, length: np.ndarray, *tables: int):
+        self.size = length.astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        _, depth, node, self.bit = expand(code, length)
+        self.depth = depth.astype(np.uint8)
+        self.part = {t: node_hash(node, depth, t) for t in tables}
+
+    def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bits each symbol's codeword has, and for each bit its place among those of all codewords."""
+        size = self.size[symbol]
+        shift = self.first[symbol] - (np.cumsum(size) - size)
+        place = np.repeat(shift, size)
+        place += np.arange(len(place))
+        return size, place
+
+
+def spread(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slots in the width that gathers like best, one for each bit."""
+    return np.repeat(x.astype(np.int64), size)
+
+
+def signs(bit: np.ndarray) -> np.ndarray:
+    return bit.astype(np.float32) * np.float32(2) - np.float32(1)
 
 
 class Reader:
     """Turns a block of texts into word codes; words that are not in the vocabulary are numbered within the block."""
 
-    def __init__(self, alphabet: Alphabet, unknown: set[bytes] = frozenset()):
+    def __init__(self, alphabet: Alphabet):
         self.a, self.hash = alphabet, alphabet.symbol_hash()
-        self.vocab = {w: k for w, k in alphabet.vocab.items() if w not in unknown} if unknown else alphabet.vocab
+        self.codes = Codes(alphabet.code, alphabet.length, 2)
         self.spelled: list[bytes] = []
 
-    def read(self, token_lists: list[list[bytes]]):
+    def read(self, column: pa.Array):
         """Codes of all tokens of the texts laid end to end (an end after each), and where each text ends."""
-        sizes = np.array([len(t) + 1 for t in token_lists], np.int64)
-        ends = np.cumsum(sizes)
+        flat, size = split_words(column)
+        found = pc.index_in(flat, value_set=self.a.vocab)
+        code = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = flat.filter(found.is_null()).dictionary_encode()
+        code[code < 0] = len(self.a.code) + new.indices.to_numpy()
+        self.spelled = new.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.tail_hash = np.fromiter(map(zlib.crc32, self.spelled), np.uint32, len(self.spelled))
+        ends = np.cumsum(size + 1)
         out = np.full(int(ends[-1]) if len(ends) else 0, self.a.end, np.int64)
-        get, none, first = self.vocab.get, repeat(-1), len(self.a.code)
-        number: dict[bytes, int] = {}
-        for t, e in zip(token_lists, ends.tolist(), strict=True):
-            if t:
-                k = np.fromiter(map(get, t, none), np.int64, len(t))
-                for i in np.flatnonzero(k < 0).tolist():
-                    k[i] = first + number.setdefault(t[i], len(number))
-                out[e - 1 - len(t) : e - 1] = k
-        self.spelled = list(number)
-        self.tail_hash = np.fromiter(map(zlib.crc32, self.spelled), np.uint32, len(number))
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = False
+        out[inner] = code
         return out, ends
 
-    def bits(self, codes: np.ndarray, ends: np.ndarray):
-        """Per bit of all word symbols: token, depth, bit and the slots of the three tables."""
+    def parts(self, codes: np.ndarray, ends: np.ndarray):
+        """The texts in blocks of about BIT_BLOCK tokens: first text, codes, ends."""
+        first = np.flatnonzero(np.diff((ends - 1) // BIT_BLOCK, prepend=-1)).tolist()
+        for i, j in zip(first, [*first[1:], len(ends)], strict=True):
+            begin = int(ends[i - 1]) if i else 0
+            yield i, codes[begin : ends[j - 1]], ends[i:j] - begin
+
+    def expanded(self, codes: np.ndarray, ends: np.ndarray):
+        """Bits of each word symbol; per bit depth, bit and its places in the three tables."""
         known = len(self.a.code)
         tail = codes >= known
         symbol = np.where(tail, known - 1, codes)
@@ -142,26 +220,36 @@ class Reader:
         second = begin + 1
         two[second[second < len(two)]] = 1
         two = mixed(one + np.uint32(77), two)
-        owner, depth, node, bit = expand(self.a.code[symbol], self.a.length[symbol])
-        return owner, depth, bit, slots(node, [np.uint32(0), one[owner], two[owner]], range(3))
+        size, place = self.codes.bits(symbol)
+        node = self.codes.part[2][place]
+        at = [place, spread(context_hash(one, 1), size), spread(context_hash(two, 2), size)]
+        at[1] ^= node & np.uint32((1 << TABLE_BITS[1]) - 1)
+        at[2] ^= node
+        return size, self.codes.depth[place], self.codes.bit[place], at
+
+    def bits(self, codes: np.ndarray, ends: np.ndarray):
+        """Per bit of all word symbols: token, depth, bit and its places in the three tables."""
+        size, *more = self.expanded(codes, ends)
+        return np.repeat(np.arange(len(size)), size), *more
 
 
-def spelled_bits(ws: list[bytes], a: Alphabet):
+def spelled_bits(ws: list[bytes], codes: Codes):
     """Per bit of the bytes of the words (each closed by a space): word, depth, bit, slots."""
-    flat = np.frombuffer(b"".join([w + b" " for w in ws]), np.uint8)
-    size = np.array([len(w) + 1 for w in ws], np.int64)
-    owner = np.repeat(np.arange(len(ws)), size)
-    place = np.arange(len(flat)) - (np.cumsum(size) - size)[owner]
-    before = []
-    ctx = np.zeros(len(flat), np.uint32)
+    flat = np.frombuffer(b" ".join(ws) + b" ", np.uint8)
+    size = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
+    word = np.repeat(np.arange(len(ws)), size)
+    place = np.arange(len(flat)) - (np.cumsum(size) - size)[word]
+    bits, at = codes.bits(flat)
+    slots, ctx = [], np.zeros(len(flat), np.uint32)
     for k in range(1, 5):
         prev = np.zeros(len(flat), np.uint32)
-        prev[k:] = flat[:-k] if len(flat) > k else 0
-        ctx = ctx * np.uint32(257) + np.where(place >= k, prev + np.uint32(1), np.uint32(0)).astype(np.uint32)
+        prev[k:] = flat[:-k] + np.uint32(1)
+        prev[place < k] = 0
+        ctx = ctx * np.uint32(257) + prev
         if k > 1:
-            before.append(ctx.copy())
-    at, depth, node, bit = expand(a.byte_code[flat], a.byte_length[flat])
-    return owner[at], depth, bit, slots(node, [c[at] for c in before], range(3, 6))
+            slots.append(spread(context_hash(ctx, k + 1), bits))
+            slots[-1] ^= codes.part[k + 1][at]
+    return np.repeat(word, bits), codes.depth[at], codes.bit[at], slots
 
 
 def gates(depth: np.ndarray, s: np.ndarray, run: np.ndarray | np.uint8 = np.uint8(0)) -> np.ndarray:
@@ -169,36 +257,69 @@ def gates(depth: np.ndarray, s: np.ndarray, run: np.ndarray | np.uint8 = np.uint
     and by how many of the two tokens before the highest order had foretold (a text that copies another goes on copying)."""
     size = np.abs(s[1:])
     level = (size > 0).astype(np.uint8) + (size > SURE).astype(np.uint8)
-    return ((np.minimum(depth >> np.uint32(1), 3).astype(np.uint8) * np.uint8(3) + run) * np.uint8(3) + level[1]) * np.uint8(3) + level[0]
+    return ((np.minimum(depth >> 1, 3).astype(np.uint8) * np.uint8(3) + run) * np.uint8(3) + level[1]) * np.uint8(3) + level[0]
 
 
 def foretold(owner: np.ndarray, s: np.ndarray, sign: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each bit, of the two tokens before its own in the text how many in a row had every bit foretold by order two."""
-    start = np.flatnonzero(np.diff(owner, prepend=-1))
-    hit = np.minimum.reduceat(s[2] * sign, start) > 0 if len(start) else np.zeros(0, bool)
+    return foretold_by(np.bincount(owner), s, sign, ends)
+
+
+def foretold_by(size: np.ndarray, s: np.ndarray, sign: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """foretold() by the number of bits of each token."""
+    misses = np.cumsum(s[2] * sign <= 0, dtype=np.int32)[np.cumsum(size) - 1]
+    hit = np.diff(misses, prepend=0) == 0
     hit[ends - 1] = False  # nothing is carried over from one text to the next
     one = np.concatenate(([False], hit[:-1]))
     two = np.concatenate(([False], one[:-1])) & one
-    return (one.astype(np.uint8) + two)[owner]
+    return np.repeat(one.astype(np.uint8) + two, size)
 
 
 class Counts:
-    """Zeros and ones of every slot, as one task sees them."""
+    """Zeros and ones of every slot, as one task sees them, and how often the mixed inputs came out as they did.
+
+    Before bits are counted they are predicted from what the task has counted so far, as a text is that nobody has seen;
+    inputs, gate and outcome go into two more tables (words, spelled bytes) of GATES blocks, from which weights are fitted.
+    """
+
+    def __init__(self, first: np.ndarray | None = None):
+        self.n = [np.zeros(2 << b if t else 0, np.uint32) for t, b in enumerate(TABLE_BITS)]
+        self.n += [np.zeros(GATES << (BLOCK_BITS + 1), np.uint32) for _ in range(2)]
+        self.first = first
 
-    def __init__(self):
-        self.n = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
+    def inputs(self, tables: range, at: list[np.ndarray]) -> np.ndarray:
+        """16-bit log-odds by the counts so far; those of the lowest order of words are the whole corpus's."""
+        out = np.empty((3, len(at[0])), np.int16)
+        for row, t, slot in zip(out, tables, at, strict=True):
+            if t == 0:
+                row[:] = np.take(self.first, slot, mode="clip")
+                continue
+            both = np.take(self.n[t].view(np.uint64), slot, mode="clip").view(np.int32).astype(np.float32)
+            both += np.float32(PRIOR)
+            odds = np.log(both[1::2] / both[::2])
+            odds *= np.float32(SCALE)
+            row[:] = np.clip(np.rint(odds, out=odds), -32767, 32767, out=odds)
+        return out
 
     def add(self, tables: range, at: list[np.ndarray], bit: np.ndarray) -> None:
         for t, slot in zip(tables, at, strict=True):
-            np.add.at(self.n[t], (slot << np.uint32(1)) | bit, np.uint32(1))
+            np.add.at(self.n[t], (slot << 1) | bit, np.uint32(1))
+
+    def learn(self, words: bool, gate: np.ndarray, odds: np.ndarray, bit: np.ndarray) -> None:
+        cell = gate.astype(np.int64)
+        cell <<= BLOCK_BITS
+        level = _levels()[odds.view(np.uint16)]
+        n = np.int32(2 * len(GRID) - 1)
+        cell += (level[0] * n + level[1]) * n + level[2]
+        np.add.at(self.n[6 if words else 7], (cell << 1) | bit, np.uint32(1))
 
     def rows(self):
         """(table, block, places, zeros, ones) of the blocks that have any; counts over 16 bits take several rows."""
         for t, n in enumerate(self.n):
             n = n.reshape(-1, 2)
-            used = np.flatnonzero(n.any(axis=1))
-            for b in np.unique(used >> BLOCK_BITS).tolist():
-                lo, hi = np.searchsorted(used, [b << BLOCK_BITS, (b + 1) << BLOCK_BITS])
+            used = np.flatnonzero(n.view(np.uint64)[:, 0])
+            ends = np.searchsorted(used, np.arange((len(n) >> BLOCK_BITS) + 1) << BLOCK_BITS).tolist()
+            for b, (lo, hi) in enumerate(zip(ends, ends[1:])):
                 own = used[lo:hi]
                 zero, one = n[own, 0], n[own, 1]
                 while len(own):
@@ -238,45 +359,86 @@ def _summed(batches):
             n[0][at] += np.frombuffer(z, "<u2")
             n[1][at] += np.frombuffer(o, "<u2")
     if sums:
-        keys = list(sums)
         odds, totals = [], []
-        for k in keys:
-            o, n = _log_odds(*sums[k])
-            odds.append(o.tobytes())
-            totals.append(n.tobytes())
+        for (t, _), n in sums.items():
+            if t < len(TABLE_BITS):
+                odds.append(_log_odds(*n).tobytes())
+                totals.append(b"")
+            else:  # outcomes of inputs stay counts
+                used = np.flatnonzero(n.any(axis=0))
+                odds.append(used.tobytes())
+                totals.append(n[:, used].tobytes())
+        keys = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(odds, pa.binary()), pa.array(totals, pa.binary())], names=["t", "b", "odds", "totals"])
 
 
-def adapt(weights: np.ndarray, g: np.ndarray, s: np.ndarray, sign: np.ndarray, update: bool = True) -> float:
-    """Natural-log loss of some bits under the weights (3, gates), which then take one step down its gradient, gate by gate."""
+@cache
+def _levels() -> np.ndarray:
+    """For each 16-bit log-odds, by its bits as an unsigned number, the nearest point of the grid (mirrored for negatives)."""
+    x = np.arange(1 << 16, dtype=np.uint16).view(np.int16) / SCALE
+    near = np.searchsorted((np.array(GRID[1:]) + np.array(GRID[:-1])) / 2, np.abs(x))
+    return (len(GRID) - 1 + np.where(x < 0, -near, near)).astype(np.uint8)
+
+
+def fitted(blocks: list[tuple[int, np.ndarray, np.ndarray]], start: tuple[float, float, float]) -> np.ndarray:
+    """The weights (3, gates) under which the outcomes of all inputs, (gate, cells, (zeros, ones)), are likeliest, by Newton's
+    method; a ridge keeps those that hardly occurred at the start."""
+    out = np.tile(np.array(start, float)[:, None], (1, GATES))
+    point = np.concatenate([-np.array(GRID[:0:-1]), GRID])
+    for gate, cells, n in blocks:
+        x = point[np.stack([cells // len(point) ** 2, cells // len(point) % len(point), cells % len(point)])]
+        loss = lambda w: (n * np.logaddexp(0, [w @ x, -(w @ x)])).sum() + RIDGE / 2 * ((w - start) ** 2).sum()  # noqa: B023, E731
+        w = np.array(start, float)
+        for _ in range(FIT_STEPS):
+            p = 1 / (1 + np.exp(-(w @ x)))
+            slope = x @ (n.sum(axis=0) * p - n[1]) + RIDGE * (w - start)
+            step = np.linalg.solve((x * (n.sum(axis=0) * p * (1 - p))) @ x.T + RIDGE * np.eye(3), slope)
+            was, size = loss(w), 1.0
+            while size > 1e-6 and loss(w - size * step) > was:
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-6:
+                break
+        out[:, gate] = w
+    return out.astype(np.float32)
+
+
+def adapt(weights: np.ndarray, g: np.ndarray, s: np.ndarray, update: bool = True) -> float:
+    """Natural-log loss of some bits under the weights (3, gates), which then take one step down its gradient, gate by gate;
+    s is the inputs times the sign of the bit."""
     z = weights[0][g] * s[0]
     z += weights[1][g] * s[1]
     z += weights[2][g] * s[2]
-    z *= sign
-    e = np.exp(-np.maximum(z, -30))
-    one = e + 1
+    e = np.exp(-np.maximum(z, np.float32(-30)))
+    one = e + np.float32(1)
     if update:
-        err = sign * e / one
+        e /= one
         n = np.bincount(g, minlength=weights.shape[1]) + DAMP
         for k in range(3):
-            weights[k] += (RATE * np.bincount(g, err * s[k], weights.shape[1]) / n).astype(weights.dtype)
+            weights[k] += (RATE * np.bincount(g, e * s[k], weights.shape[1]) / n).astype(weights.dtype)
     return float(np.log(one).sum(dtype=np.float64))
 
 
-def _log_odds(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit log-odds of slots (zero where nothing was counted) and their totals, cut at 16 bits."""
+def _log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """16-bit log-odds of slots (zero where nothing was counted)."""
     s = np.log((one + PRIOR) / (zero + PRIOR)) * SCALE
-    return np.where(zero + one > 0, np.clip(np.rint(s), -32767, 32767), 0).astype("<i2"), np.minimum(zero + one, 65535).astype("<u2")
+    return np.where(zero + one > 0, np.clip(np.rint(s), -32767, 32767), 0).astype("<i2")
 
 
-def _order_zero(a: Alphabet, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table of the lowest order, from the symbols' counts: the same sums as counting the bits of all texts."""
+def _order_zero(a: Alphabet, counts: np.ndarray) -> np.ndarray:
+    """The log-odds of the lowest order at each place of all codewords, from the symbols' counts: the same sums as counting
+    the bits of all texts."""
     n = np.zeros(2 << TABLE_BITS[0], np.int64)
-    for i in range(0, len(a.code), 20_000):
-        owner, _, node, bit = expand(a.code[i : i + 20_000], a.length[i : i + 20_000])
-        (slot,) = slots(node, [np.uint32(0)], range(1))
-        np.add.at(n, (slot << np.uint32(1)) | bit, counts[i : i + 20_000][owner])
-    return _log_odds(n[0::2], n[1::2])
+    parts = [slice(i, i + 20_000) for i in range(0, len(a.code), 20_000)]
+    for part in parts:
+        owner, depth, node, bit = expand(a.code[part], a.length[part])
+        np.add.at(n, (node_hash(node, depth, 0).astype(np.int64) << 1) | bit, counts[part][owner])
+    odds = _log_odds(n[0::2], n[1::2])
+    out = []
+    for part in parts:
+        _, depth, node, _ = expand(a.code[part], a.length[part])
+        out.append(odds[node_hash(node, depth, 0)])
+    return np.concatenate(out)
 
 
 @dataclass
@@ -290,76 +452,60 @@ class Model:
     ends: int
     tail_total: int  # training tokens outside the vocabulary
     tail_known: float  # chance that such a token has been seen before
+    fitted_bits: tuple[int, int]  # bits of words, and of spelled bytes, to which the first weights were fitted
 
     def inputs(self, tables: range, at: list[np.ndarray]) -> np.ndarray:
         out = np.empty((3, len(at[0])), np.float32)
         for row, t, slot in zip(out, tables, at, strict=True):
-            row[:] = self.odds[t][slot]
+            row[:] = np.take(self.odds[t], slot, mode="clip")
         out *= np.float32(1 / SCALE)
         return out
 
-    def spelling_loss(self, ws: list[bytes]) -> np.ndarray:
+    def spelling_loss(self, ws: list[bytes], codes: Codes) -> np.ndarray:
         """Natural-log loss of spelling each word; its weights are the fitted ones."""
         out = np.zeros(len(ws))
-        for i in range(0, len(ws), 20_000):
-            part = ws[i : i + 20_000]
-            owner, depth, bit, at = spelled_bits(part, self.alphabet)
+        for i in range(0, len(ws), WORD_BLOCK):
+            part = ws[i : i + WORD_BLOCK]
+            owner, depth, bit, at = spelled_bits(part, codes)
             s = self.inputs(range(3, 6), at)
-            w = self.byte_weights[:, gates(depth, s)]
-            z = (w * s).sum(axis=0) * np.where(bit, 1, -1)
-            out[i : i + len(part)] = np.bincount(owner, np.log1p(np.exp(-np.clip(z, -30, 30))), len(part))
+            g = gates(depth, s).astype(np.int64)
+            z = self.byte_weights[0][g] * s[0]
+            z += self.byte_weights[1][g] * s[1]
+            z += self.byte_weights[2][g] * s[2]
+            z *= -signs(bit)
+            out[i : i + len(part)] = np.bincount(owner, np.log(np.exp(np.minimum(z, np.float32(30))) + np.float32(1)), len(part))
         return out
 
     def base_log10(self, n) -> np.ndarray:
         return np.log10((np.asarray(n, float) + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-def _without_own(odds: np.ndarray, totals: np.ndarray, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Log-odds of slots as if these very bits had not been counted."""
-    n = totals[slot].astype(float)
-    p = 1 / (1 + np.exp(-odds[slot] / SCALE))
-    one = p * (n + 2 * PRIOR) - PRIOR
-    used, place = np.unique(slot, return_inverse=True)
-    own = np.stack([np.bincount(place, ~bit, len(used)), np.bincount(place, bit, len(used))])[:, place]
-    one, zero = np.maximum(0, one - own[1]), np.maximum(0, n - one - own[0])
-    return np.where(np.rint(one + zero) > 0, np.log((one + PRIOR) / (zero + PRIOR)), 0).astype(np.float32)
-
-
-def _fit_weights(samples, start: tuple[float, float, float], passes: int = 4) -> np.ndarray:
-    weights = np.tile(np.array(start, np.float32)[:, None], (1, GATES))
-    for _ in range(passes):
-        for g, s, sign in samples:
-            for i in range(0, len(g), 512):
-                adapt(weights, g[i : i + 512], s[:, i : i + 512], sign[i : i + 512])
-    return weights
-
-
 def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tuple[Model, DataFrame]:
     """The model of all texts of docs, and the table (word, n) of all their words.
 
     Word counts, and the zeros and ones of every slot, are summed over all texts by tasks first and then by slot range;
-    the driver receives the tables' log-odds, whose size is fixed by TABLE_BITS, and at most `hot` words. Only the weights
-    from which every text starts are fitted on a bounded sample: SAMPLE_TEXTS whole texts (those of at most SAMPLE_CHARS
-    characters first) and SAMPLE_WORDS spelled words, each predicted as if it had not been counted itself.
+    the driver receives the tables' log-odds, whose size is fixed by TABLE_BITS, and at most `hot` words. The weights from
+    which every text starts are fitted to every bit of every training text and spelled word: a task predicts each block from
+    what it counted before it, and how often which inputs (rounded to GRID) had which outcome is summed over all tasks.
+    So the weights, unlike the counts, depend a little on how the rows are dealt to tasks.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[text_col].alias("text"))
 
     def count_words(batches):
-        c: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return out
-
+        held = []
         for b in blocks(batches, 8 << 20):
-            for t in texts_of(b):
-                c.update(words(t))
-            if len(c) > 500_000:
-                yield flush()
-        if c:
-            yield flush()
+            counted = split_words(b.column("text"))[0].value_counts()
+            held.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
+            if sum(x.num_rows for x in held) > 1_000_000:
+                held = [merged(held)]
+                if held[0].num_rows > 500_000:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged(held).to_batches()
+
+    def merged(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     table = written(docs.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = docs.count()
@@ -369,10 +515,9 @@ def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tu
     vocabulary = (F.col("n") >= max(2, least)) & (F.length("word") <= HOT_CHARS)
     top = table.filter(vocabulary).toArrow()
     order = np.argsort(-top.column("n").to_numpy(), kind="stable")
-    listed = top.column("word").to_pylist()
-    vocab = {listed[j]: i for i, j in enumerate(order.tolist())}
+    vocab = pa.concat_arrays([x.cast(pa.binary()) for x in top.column("word").chunks] or [pa.array([], pa.binary())]).take(pa.array(order))
     counts = top.column("n").to_numpy()[order]
-    del top, listed
+    del top
     code, length = prefix_code(np.concatenate([counts, [max(1, ends), max(1, whole["n"] - counts.sum())]]).astype(float))
     tail = table.filter(~vocabulary)
 
@@ -388,24 +533,31 @@ def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tu
     for r in tail.select("word").mapInArrow(count_bytes, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
         per_byte[r["c"]] += r["n"]
     alphabet = Alphabet(vocab, counts, code, length, *prefix_code(per_byte))
-    shared = spark.sparkContext.broadcast(alphabet)
+    odds = [np.zeros(1 << b, "<i2") for b in TABLE_BITS]
+    odds[0] = _order_zero(alphabet, np.concatenate([counts, [ends, whole["n"] - counts.sum()]]))
+    shared, resident_key = spark.sparkContext.broadcast((alphabet, odds[0])), f"mixing-{uuid.uuid4().hex}"
 
     def count_bits(batches):
-        resident("mixing")
-        reader, c = Reader(shared.value), Counts()
+        a, first = shared.value
+        reader, c = resident(resident_key, lambda: Reader(a)), Counts(first)
         for b in blocks(batches, TEXT_BLOCK):
-            codes, at_ends = reader.read([words(t) for t in texts_of(b)])
-            if len(codes):
-                _, _, bit, at = reader.bits(codes, at_ends)
+            for _, codes, at_ends in reader.parts(*reader.read(b.column("text"))):
+                size, depth, bit, at = reader.expanded(codes, at_ends)
+                o = c.inputs(range(3), at)
+                s = o * np.float32(1 / SCALE)
+                c.learn(True, gates(depth, s, foretold_by(size, s, signs(bit), at_ends)), o, bit)
                 c.add(range(1, 3), at[1:], bit)
         yield from _emit(c)
 
     def count_spelling(batches):
-        c = Counts()
+        a, _ = shared.value
+        byte_codes, c = Codes(a.byte_code, a.byte_length, 3, 4, 5), Counts()
         for b in batches:
             ws = b.column("word").to_pylist()
-            for i in range(0, len(ws), 20_000):
-                _, _, bit, at = spelled_bits(ws[i : i + 20_000], shared.value)
+            for i in range(0, len(ws), WORD_BLOCK):
+                _, depth, bit, at = spelled_bits(ws[i : i + WORD_BLOCK], byte_codes)
+                o = c.inputs(range(3, 6), at)
+                c.learn(False, gates(depth, o * np.float32(1 / SCALE)), o, bit)
                 c.add(range(3, 6), at, bit)
         yield from _emit(c)
 
@@ -414,53 +566,38 @@ def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tu
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     summed = parts.repartition(n_parts, "t", "b").mapInArrow(_summed, "t int, b int, odds binary, totals binary")
     summed = written(summed, "slots")
-    odds, totals = [np.zeros(1 << b, "<i2") for b in TABLE_BITS], [np.zeros(1 << b, "<u2") for b in TABLE_BITS]
-    odds[0], totals[0] = _order_zero(alphabet, np.concatenate([counts, [ends, whole["n"] - counts.sum()]]))
     for t in range(1, len(TABLE_BITS)):  # one table at a time, which keeps the driver small
-        got = summed.filter(F.col("t") == t).select("b", "odds", "totals").toArrow()
-        for b, o, n in zip(got.column(0).to_pylist(), got.column(1), got.column(2), strict=True):
-            at = slice(b << BLOCK_BITS, (b + 1) << BLOCK_BITS)
-            odds[t][at], totals[t][at] = np.frombuffer(o.as_buffer(), "<i2"), np.frombuffer(n.as_buffer(), "<u2")
+        got = summed.filter(F.col("t") == t).select("b", "odds").toArrow()
+        for b, o in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+            odds[t][b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(o.as_buffer(), "<i2")
         del got
-    texts = docs.select("text", F.xxhash64("text").alias("h"), (F.length("text") > SAMPLE_CHARS).alias("long")).filter("text is not null").orderBy("long", "h", "text").limit(SAMPLE_TEXTS).select("text").collect()
-    samples = []
-    for r in texts:
-        ws = words(r["text"])
-        own = Counter(ws)
-        # words that only this text brings into the vocabulary are spelled, as they were if it were new
-        reader = Reader(alphabet, {w for w, n in own.items() if w in vocab and counts[vocab[w]] - n < max(2, least)})
-        codes, at_ends = reader.read([ws])
-        owner, depth, bit, at = reader.bits(codes, at_ends)
-        s = np.stack([_without_own(odds[t], totals[t], slot, bit) for t, slot in enumerate(at)])
-        sign = np.where(bit, np.float32(1), np.float32(-1))
-        samples.append((gates(depth, s, foretold(owner, s, sign, at_ends)), s, sign))
-    word_weights = _fit_weights(samples, (0.9, 0.1, 0.1))
-    some = [r["word"] for r in tail.filter(F.length("word") <= SAMPLE_CHARS).select("word", F.xxhash64("word").alias("h")).orderBy("h", "word").limit(SAMPLE_WORDS).collect()]
-    samples = []
-    for i in range(0, len(some), 500):
-        _, depth, bit, at = spelled_bits(some[i : i + 500], alphabet)
-        # words are predicted one by one; that 500 are taken out at once matters little in tables of all words
-        s = np.stack([_without_own(odds[t], totals[t], slot, bit) for t, slot in zip(range(3, 6), at, strict=True)])
-        samples.append((gates(depth, s), s, np.where(bit, np.float32(1), np.float32(-1))))
+    weights, fitted_bits = [], []
+    for t, start in ((6, WORD_START), (7, BYTE_START)):
+        got = summed.filter(F.col("t") == t).select("b", "odds", "totals").collect()
+        outcomes = [(r["b"], np.frombuffer(r["odds"], np.int64), np.frombuffer(r["totals"], np.int64).reshape(2, -1)) for r in got]
+        weights.append(fitted(outcomes, start))
+        fitted_bits.append(int(sum(n.sum() for _, _, n in outcomes)))
     tail_total = int(whole["n"] - counts.sum())
     tail_known = min(0.999, 1 - whole["once"] / tail_total) if tail_total else 0.0
-    return Model(alphabet, odds, word_weights, _fit_weights(samples, (0.3, 0.3, 0.4)), total, distinct, ends, tail_total, tail_known), table
+    return Model(alphabet, odds, *weights, total, distinct, ends, tail_total, tail_known, tuple(fitted_bits)), table
 
 
-def score_blocks(model: Model, reader: Reader, token_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_blocks(model: Model, reader: Reader, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural-log loss of each text but for the spelling of escaped words; also its codes and where it ends."""
-    codes, ends = reader.read(token_lists)
-    owner, depth, bit, at = reader.bits(codes, ends)
-    s = model.inputs(range(3), at)
-    sign = np.where(bit, np.float32(1), np.float32(-1))
-    g = gates(depth, s, foretold(owner, s, sign, ends))
-    loss, a = np.zeros(len(ends)), 0
-    for i, z in enumerate(np.searchsorted(owner, ends).tolist()):
-        weights = model.word_weights.copy()
-        while a < z:
-            e = min(a + STEP, z)
-            loss[i] += adapt(weights, g[a:e], s[:, a:e], sign[a:e], update=e < z)
-            a = e
+    codes, ends = reader.read(column)
+    loss = np.zeros(len(ends))
+    for first, own, own_ends in reader.parts(codes, ends):
+        size, depth, bit, at = reader.expanded(own, own_ends)
+        s, sign = model.inputs(range(3), at), signs(bit)
+        g = gates(depth, s, foretold_by(size, s, sign, own_ends)).astype(np.int64)
+        s *= sign
+        a = 0
+        for i, z in enumerate(np.cumsum(size)[own_ends - 1].tolist()):
+            weights = model.word_weights.copy() if z - a > STEP else model.word_weights
+            while a < z:
+                e = min(a + STEP, z)
+                loss[first + i] += adapt(weights, g[a:e], s[:, a:e], update=e < z)
+                a = e
     return loss, codes, ends
 
 
@@ -476,18 +613,16 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     key = docs.schema[id_col].dataType.simpleString()
     docs = columns(docs, id_col, text_col).toDF("key", "text")
     model, table = train(docs.filter(crc_fold("key", folds) != 0), "text", hot)
-    shared = spark.sparkContext.broadcast(model)
+    shared, resident_key = spark.sparkContext.broadcast(model), f"mixing-{uuid.uuid4().hex}"
 
     def run(batches):
-        resident("mixing")
         m = shared.value
         a = m.alphabet
-        reader, known = Reader(a), len(a.code)
+        reader, known, byte_codes = resident(resident_key, lambda: Reader(a)), len(a.code), Codes(a.byte_code, a.byte_length, 3, 4, 5)
         base = np.concatenate([m.base_log10(a.counts), m.base_log10([m.ends]), [0.0]])
         for b in blocks(batches, TEXT_BLOCK):
-            texts = [words(t) for t in texts_of(b)]
-            loss, codes, ends = score_blocks(m, reader, texts)
-            spelling = m.spelling_loss(reader.spelled)
+            loss, codes, ends = score_blocks(m, reader, b.column("text"))
+            spelling = m.spelling_loss(reader.spelled, byte_codes)
             begin = np.concatenate(([0], ends[:-1]))
             sizes = ends - begin
             hit = codes < known
