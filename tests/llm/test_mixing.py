@@ -114,3 +114,26 @@ def test_fitted_weights_are_the_likeliest():
 def test_log_odds_on_the_grid_keep_their_place():
     level = M._levels()[np.rint(np.array([*M.GRID, *(-g for g in M.GRID)]) * M.SCALE).astype(np.int16).view(np.uint16)]
     assert level.tolist() == [*range(12, 25), *range(12, -1, -1)]
+
+
+def test_texts_that_never_adapt_are_mixed_at_once(spark, monkeypatch):
+    """Every text took a call of its own before; the losses are those of each text alone."""
+    model, _ = M.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [f"the house {i} is new and w{i}" for i in range(300)] + ["far more words than that " * 400, "", None, "the end"]
+    reader = M.Reader(model.alphabet)
+    alone = [M.score_blocks(model, reader, pa.array([x], pa.string()))[0][0] for x in texts]
+    calls, plain = [], M.adapt
+    monkeypatch.setattr(M, "adapt", lambda w, g, *a, **k: calls.append(len(g)) or plain(w, g, *a, **k))
+    loss, _, _ = M.score_blocks(model, reader, pa.array(texts))
+    assert np.allclose(loss, alone, rtol=1e-5)
+    assert sum(n > M.STEP for n in calls) == 1 and sum(n != M.STEP for n in calls) <= 3
+
+
+def test_one_look_gives_slot_stage_and_bit():
+    code, length = M.prefix_code(np.random.default_rng(2).integers(1, 9000, 400).astype(float))
+    _, depth, node, bit = M.expand(code, length)
+    codes = M.Codes(code, length, 2, 5)
+    for table in (2, 5):
+        got = codes.look(table, np.arange(len(bit)))
+        stage, one = M.marks(got)
+        assert (stage == np.minimum(depth // 2, 3)).all() and (one == bit).all() and (M.slot_part(got, table) == M.node_hash(node, depth, table)).all()

@@ -27,6 +27,8 @@ from weftlight.llm.common import HOT_CHARS, HOT_ENTRIES, blocks, columns, crc_fo
 TABLE_BITS = (20, 21, 22, 18, 20, 20)
 #: Slots that travel together when counts of the tasks are summed.
 BLOCK_BITS = 14
+#: Bits above a slot of any table, where a code's bit keeps its stage and itself.
+MARK = 24
 #: What is added to both counts of a slot, and the scale of log-odds stored in 16 bits.
 PRIOR, SCALE = 0.3, 2048.0
 #: Bits after which a text's weights are adapted, the rate, and a damping number of bits.
@@ -144,14 +146,15 @@ def context_hash(context: np.ndarray, table: int) -> np.ndarray:
 
 
 class Codes:
-    """The bits of all codewords laid end to end, with what a bit brings along whatever its context is."""
+    """The bits of all codewords laid end to end, with what a bit brings along whatever its context is: for each table what
+    its node adds to the slot, and above it (MARK) its stage and the bit, so that one look fetches all three."""
 
     def __init__(self, code: np.ndarray, length: np.ndarray, *tables: int):
         self.size = length.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
-        _, depth, node, self.bit = expand(code, length)
-        self.depth = depth.astype(np.uint8)
-        self.part = {t: node_hash(node, depth, t) for t in tables}
+        _, depth, node, bit = expand(code, length)
+        mark = np.minimum(depth >> np.uint32(1), np.uint32(3)) | bit.astype(np.uint32) << np.uint32(2)
+        self.part = {t: node_hash(node, depth, t) | mark << np.uint32(MARK) for t in tables}
 
     def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many bits each symbol's codeword has, and for each bit its place among those of all codewords."""
@@ -161,6 +164,20 @@ class Codes:
         place += np.arange(len(place))
         return size, place
 
+    def look(self, table: int, place: np.ndarray) -> np.ndarray:
+        return np.take(self.part[table], place, mode="clip")
+
+
+def slot_part(x: np.ndarray, table: int) -> np.ndarray:
+    """What looks add to the slots of a table of no more bits than the one looked up."""
+    return x & np.uint32((1 << TABLE_BITS[table]) - 1)
+
+
+def marks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stage (depth in the code by two, three at most) and bit of each look."""
+    mark = (x >> np.uint32(MARK)).astype(np.uint8)
+    return mark & np.uint8(3), mark > np.uint8(3)
+
 
 def spread(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Slots in the width that gathers like best, one for each bit."""
@@ -203,7 +220,7 @@ class Reader:
             yield i, codes[begin : ends[j - 1]], ends[i:j] - begin
 
     def expanded(self, codes: np.ndarray, ends: np.ndarray):
-        """Bits of each word symbol; per bit depth, bit and its places in the three tables."""
+        """Bits of each word symbol; per bit stage, bit and its places in the three tables."""
         known = len(self.a.code)
         tail = codes >= known
         symbol = np.where(tail, known - 1, codes)
@@ -221,20 +238,20 @@ class Reader:
         two[second[second < len(two)]] = 1
         two = mixed(one + np.uint32(77), two)
         size, place = self.codes.bits(symbol)
-        node = self.codes.part[2][place]
+        node = self.codes.look(2, place)
         at = [place, spread(context_hash(one, 1), size), spread(context_hash(two, 2), size)]
-        at[1] ^= node & np.uint32((1 << TABLE_BITS[1]) - 1)
-        at[2] ^= node
-        return size, self.codes.depth[place], self.codes.bit[place], at
+        at[1] ^= slot_part(node, 1)
+        at[2] ^= slot_part(node, 2)
+        return size, *marks(node), at
 
     def bits(self, codes: np.ndarray, ends: np.ndarray):
-        """Per bit of all word symbols: token, depth, bit and its places in the three tables."""
+        """Per bit of all word symbols: token, stage, bit and its places in the three tables."""
         size, *more = self.expanded(codes, ends)
         return np.repeat(np.arange(len(size)), size), *more
 
 
 def spelled_bits(ws: list[bytes], codes: Codes):
-    """Per bit of the bytes of the words (each closed by a space): word, depth, bit, slots."""
+    """Per bit of the bytes of the words (each closed by a space): word, stage, bit, slots."""
     flat = np.frombuffer(b" ".join(ws) + b" ", np.uint8)
     size = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
     word = np.repeat(np.arange(len(ws)), size)
@@ -248,16 +265,17 @@ def spelled_bits(ws: list[bytes], codes: Codes):
         ctx = ctx * np.uint32(257) + prev
         if k > 1:
             slots.append(spread(context_hash(ctx, k + 1), bits))
-            slots[-1] ^= codes.part[k + 1][at]
-    return np.repeat(word, bits), codes.depth[at], codes.bit[at], slots
+            node = codes.look(k + 1, at)
+            slots[-1] ^= slot_part(node, k + 1)
+    return np.repeat(word, bits), *marks(node), slots
 
 
-def gates(depth: np.ndarray, s: np.ndarray, run: np.ndarray | np.uint8 = np.uint8(0)) -> np.ndarray:
-    """Which weights a bit takes: by depth in the code, by whether the higher orders were never, once or more surely seen,
+def gates(stage: np.ndarray, s: np.ndarray, run: np.ndarray | np.uint8 = np.uint8(0)) -> np.ndarray:
+    """Which weights a bit takes: by its stage in the code, by whether the higher orders were never, once or more surely seen,
     and by how many of the two tokens before the highest order had foretold (a text that copies another goes on copying)."""
     size = np.abs(s[1:])
     level = (size > 0).astype(np.uint8) + (size > SURE).astype(np.uint8)
-    return ((np.minimum(depth >> 1, 3).astype(np.uint8) * np.uint8(3) + run) * np.uint8(3) + level[1]) * np.uint8(3) + level[0]
+    return ((stage * np.uint8(3) + run) * np.uint8(3) + level[1]) * np.uint8(3) + level[0]
 
 
 def foretold(owner: np.ndarray, s: np.ndarray, sign: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -308,7 +326,7 @@ class Counts:
     def learn(self, words: bool, gate: np.ndarray, odds: np.ndarray, bit: np.ndarray) -> None:
         cell = gate.astype(np.int64)
         cell <<= BLOCK_BITS
-        level = _levels()[odds.view(np.uint16)]
+        level = np.take(_levels(), odds.view(np.uint16), mode="clip")
         n = np.int32(2 * len(GRID) - 1)
         cell += (level[0] * n + level[1]) * n + level[2]
         np.add.at(self.n[6 if words else 7], (cell << 1) | bit, np.uint32(1))
@@ -403,20 +421,21 @@ def fitted(blocks: list[tuple[int, np.ndarray, np.ndarray]], start: tuple[float,
     return out.astype(np.float32)
 
 
-def adapt(weights: np.ndarray, g: np.ndarray, s: np.ndarray, update: bool = True) -> float:
-    """Natural-log loss of some bits under the weights (3, gates), which then take one step down its gradient, gate by gate;
-    s is the inputs times the sign of the bit."""
-    z = weights[0][g] * s[0]
-    z += weights[1][g] * s[1]
-    z += weights[2][g] * s[2]
-    e = np.exp(-np.maximum(z, np.float32(-30)))
-    one = e + np.float32(1)
+def adapt(weights: np.ndarray, g: np.ndarray, s: np.ndarray, miss: np.ndarray, update: bool = True) -> None:
+    """Writes the odds against the outcome of some bits under the weights (3, gates) into miss; then the weights take one step
+    down the gradient of the log loss, gate by gate. s is the inputs times the sign of the bit."""
+    z = np.take(weights[0], g, mode="clip")
+    z *= s[0]
+    for k in (1, 2):
+        part = np.take(weights[k], g, mode="clip")
+        part *= s[k]
+        z += part
+    np.exp(np.minimum(np.negative(z, out=z), np.float32(30), out=z), out=miss)
     if update:
-        e /= one
+        e = miss / (miss + np.float32(1))
         n = np.bincount(g, minlength=weights.shape[1]) + DAMP
         for k in range(3):
             weights[k] += (RATE * np.bincount(g, e * s[k], weights.shape[1]) / n).astype(weights.dtype)
-    return float(np.log(one).sum(dtype=np.float64))
 
 
 def _log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -466,9 +485,9 @@ class Model:
         out = np.zeros(len(ws))
         for i in range(0, len(ws), WORD_BLOCK):
             part = ws[i : i + WORD_BLOCK]
-            owner, depth, bit, at = spelled_bits(part, codes)
+            owner, stage, bit, at = spelled_bits(part, codes)
             s = self.inputs(range(3, 6), at)
-            g = gates(depth, s).astype(np.int64)
+            g = gates(stage, s).astype(np.int64)
             z = self.byte_weights[0][g] * s[0]
             z += self.byte_weights[1][g] * s[1]
             z += self.byte_weights[2][g] * s[2]
@@ -542,10 +561,10 @@ def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tu
         reader, c = resident(resident_key, lambda: Reader(a)), Counts(first)
         for b in blocks(batches, TEXT_BLOCK):
             for _, codes, at_ends in reader.parts(*reader.read(b.column("text"))):
-                size, depth, bit, at = reader.expanded(codes, at_ends)
+                size, stage, bit, at = reader.expanded(codes, at_ends)
                 o = c.inputs(range(3), at)
                 s = o * np.float32(1 / SCALE)
-                c.learn(True, gates(depth, s, foretold_by(size, s, signs(bit), at_ends)), o, bit)
+                c.learn(True, gates(stage, s, foretold_by(size, s, signs(bit), at_ends)), o, bit)
                 c.add(range(1, 3), at[1:], bit)
         yield from _emit(c)
 
@@ -555,9 +574,9 @@ def train(docs: DataFrame, text_col: str = "text", hot: int = HOT_ENTRIES) -> tu
         for b in batches:
             ws = b.column("word").to_pylist()
             for i in range(0, len(ws), WORD_BLOCK):
-                _, depth, bit, at = spelled_bits(ws[i : i + WORD_BLOCK], byte_codes)
+                _, stage, bit, at = spelled_bits(ws[i : i + WORD_BLOCK], byte_codes)
                 o = c.inputs(range(3, 6), at)
-                c.learn(False, gates(depth, o * np.float32(1 / SCALE)), o, bit)
+                c.learn(False, gates(stage, o * np.float32(1 / SCALE)), o, bit)
                 c.add(range(3, 6), at, bit)
         yield from _emit(c)
 
@@ -587,17 +606,26 @@ def score_blocks(model: Model, reader: Reader, column: pa.Array) -> tuple[np.nda
     codes, ends = reader.read(column)
     loss = np.zeros(len(ends))
     for first, own, own_ends in reader.parts(codes, ends):
-        size, depth, bit, at = reader.expanded(own, own_ends)
+        size, stage, bit, at = reader.expanded(own, own_ends)
         s, sign = model.inputs(range(3), at), signs(bit)
-        g = gates(depth, s, foretold_by(size, s, sign, own_ends)).astype(np.int64)
+        g = gates(stage, s, foretold_by(size, s, sign, own_ends)).astype(np.int64)
         s *= sign
-        a = 0
-        for i, z in enumerate(np.cumsum(size)[own_ends - 1].tolist()):
-            weights = model.word_weights.copy() if z - a > STEP else model.word_weights
+        stop, miss = np.cumsum(size)[own_ends - 1], np.empty(len(g), np.float32)
+        a = 0  # bits before it are done; texts that never adapt wait for the next that does
+        for begin, z in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True):
+            if z - begin <= STEP:
+                continue
+            if a < begin:
+                adapt(model.word_weights, g[a:begin], s[:, a:begin], miss[a:begin], update=False)
+            weights, a = model.word_weights.copy(), begin
             while a < z:
                 e = min(a + STEP, z)
-                loss[first + i] += adapt(weights, g[a:e], s[:, a:e], update=e < z)
+                adapt(weights, g[a:e], s[:, a:e], miss[a:e], update=e < z)
                 a = e
+        if a < len(g):
+            adapt(model.word_weights, g[a:], s[:, a:], miss[a:], update=False)
+        miss += np.float32(1)
+        loss[first : first + len(stop)] = np.add.reduceat(np.log(miss, out=miss), np.concatenate(([0], stop[:-1])), dtype=np.float64)
     return loss, codes, ends
 
 
