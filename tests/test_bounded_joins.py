@@ -141,3 +141,13 @@ def test_levels_search_once(spark, monkeypatch):
     calls, plain = [], evidence_queries.lexical_hits
     monkeypatch.setattr(evidence_queries, "lexical_hits", lambda t: calls.append(1) or plain(t))
     assert catalogue.QUERIES["sufficiency_level"](spark, "/root/testdata/sf0.001").count() > 0 and calls == [1]
+
+
+def test_sales_are_ranked_once_a_query(spark):
+    """Each use of the reports ranked all sales again: 33 scans of lineitem in one plan of recovered_evidence."""
+    from weftlight.plans import catalogue, frames, registry
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    assert frames.reports(t) is frames.reports(t) and frames.reports(t).count() == 6 * frames.questions(t).count()
+    plan = catalogue.QUERIES["recovered_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "part.parquet" not in plan
