@@ -151,3 +151,25 @@ def test_sales_are_ranked_once_a_query(spark):
     assert frames.reports(t) is frames.reports(t) and frames.reports(t).count() == 6 * frames.questions(t).count()
     plan = catalogue.QUERIES["recovered_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "part.parquet" not in plan
+
+
+def test_words_are_looked_up_in_bounded_pieces(spark, monkeypatch):
+    """All words of an Arrow batch were looked up at once, however many they were."""
+    items, asks = _items(spark)
+    rows = lambda df: {tuple(r) for r in df.select("q", "a", "b", "score", "rank").collect()}
+    want = rows(lexical.bm25_top_k(items, ["a", "b"], asks, "q", 9))
+
+    class Bounded:
+        def __getattr__(self, name):
+            import pyarrow.compute as pc
+
+            def index_in(values, **kw):
+                if len(values) > 41:  # WORDS and the longest item
+                    raise ValueError(f"{len(values)} words at once")
+                return pc.index_in(values, **kw)
+
+            return index_in if name == "index_in" else getattr(pc, name)
+
+    monkeypatch.setattr(lexical, "WORDS", 30, raising=False)
+    monkeypatch.setattr(lexical, "pc", Bounded())
+    assert rows(lexical.bm25_top_k(items, ["a", "b"], asks, "q", 9)) == want
